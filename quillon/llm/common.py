@@ -64,6 +64,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n].alias(n) for n in names])
 
 
+def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows (counted here), else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
