@@ -1,0 +1,294 @@
+"""Whole-text operators against brute force and on edge cases."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+
+from quillon.llm import language_id, license_scan, mixing, packing, pii, quality_rules, token_counts, url_filter
+from quillon.llm.queries import ORACLE_SQL, QUERIES
+from tests.compare import duck_rows, rows_of
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+# --- token counts -----------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark, docs, edge_docs, texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for frame in (docs, edge_docs):
+        want = {(r.doc_id, len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in frame.collect()}
+        got = token_counts.count_tokens(frame, P.path("piece_bpe_32k.model")).collect()
+        assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in got} == want and len(got) == frame.count()
+        assert all(r.over_limit == (r.n_tokens > 4096) for r in got)
+
+
+def test_token_counts_of_odd_white_space():
+    c = token_counts.PieceCounter(P.path("piece_bpe_32k.model"))
+    odd = ["", " ", "  a", "a ", "a  b", "\n\n x", " \n", "a\tb  \r\n c", "\x00a b", "<s> hi", "日本 語", "▁ a▁b", "\u00a0a"]
+    assert c.splits and c.count(odd) == [len(x) for x in c.model.encode(odd)]
+
+
+# --- packing ----------------------------------------------------------------
+
+
+def test_packing_round_trip(spark, edge_docs, docs):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for frame in (edge_docs.limit(12), docs):
+        text = {r.doc_id: r.text or "" for r in frame.collect()}
+        rows = packing.pack(frame, P.path("byte_bpe_50k.json")).collect()
+        seen, filled = {}, {}
+        for r in rows:
+            ids = np.array(t.encode(text[r.doc_id], add_special_tokens=False).ids + [0], "<u4")
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+            seen.setdefault(r.doc_id, []).append((r.start, r.length))
+            filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert set(seen) == set(text)
+        for parts in (*seen.values(), *filled.values()):
+            at = 0
+            for start, n in sorted(parts):
+                assert start == at
+                at += n
+        assert all(sum(n for _, n in parts) <= 1024 for parts in filled.values()) and sorted(filled) == list(range(len(filled)))
+    assert len(filled) <= sum(r.length for r in rows) / 1024 * 1.02 + 1
+
+
+def test_packing_of_repeated_and_no_rows(spark, edge_docs, no_docs):
+    rows = packing.pack(edge_docs, P.path("byte_bpe_50k.json")).where("doc_id = 1").collect()
+    assert len(rows) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == 2
+    assert packing.pack(no_docs, P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_chunk_encoder_on_odd_texts():
+    c = packing.ChunkEncoder(P.path("byte_bpe_50k.json"))
+    odd = ["", "  ", " a", "a ", "a  b", "\n\n x", "hi <|endoftext|> x", "a\tb  \r\n c", "日本 語", "it's\nwe're 12,5", "\na", "a\n\nb", "x \ny", "\u00a0a b"]
+    assert c.fast is not None
+    assert [x.tolist() for x in c.encode(odd)] == [e.ids for e in c.tokenizer.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_plan_covers_any_histogram_once():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 60):
+        h = {int(k): int(rng.integers(1, 500)) for k in rng.integers(1, 65, n)}
+        used = {}
+        for pattern, times in packing.plan(h, 64):
+            assert sum(k * c for k, c in pattern) <= 64
+            for k, c in pattern:
+                used[k] = used.get(k, 0) + c * times
+        assert used == h
+    assert packing.plan({}, 64) == []
+
+
+def test_pricing_is_the_best_pattern():
+    value, pattern = packing.price(np.array([3, 5, 7]), np.array([0.3, 0.55, 0.8]), 12)
+    assert value == pytest.approx(1.35) and pattern == {1: 1, 2: 1}
+
+
+# --- personal data ----------------------------------------------------------
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute_spans(text):
+    out = []
+    for k, p in enumerate(PATTERNS):
+        found = []
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if k == 1 and any(int(x) > 255 for x in m[0].split(".")) or k == 2 and not (13 <= len(d) <= 19 and pii.luhn(d)) or k == 3 and not 9 <= len(d) <= 15:
+                continue
+            found.append(m.span())
+        out.append(found)
+    return out
+
+
+def test_base_spans_equal_the_patterns(texts):
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("aB1230..@@+-() %_5\n"), rng.integers(0, 40))) for _ in range(4000)]
+    for t in [*made, *[t or "" for t in texts.values()]]:
+        assert pii.base_spans(t) == brute_spans(t)
+
+
+def test_pii_query_rows(spark, edge_docs, no_docs):
+    got = {r.doc_id: r for r in pii.scan(edge_docs).collect()}
+    for i, r in got.items():
+        text = {x.doc_id: x.text for x in edge_docs.collect()}[i] or ""
+        spans = brute_spans(text)
+        said = ",".join(f"{k}:{a}:{b}" for k, f in zip(pii.KINDS, spans, strict=True) for a, b in f)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(len, spans)) and r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(said.split(",")) - {""} <= set(r.spans.split(","))
+    assert pii.scan(no_docs).count() == 0
+    red = {r.doc_id: r.text for r in pii.scan(edge_docs, redact=True).collect()}
+    assert red[5] is None and red[6] == "" and "<email>" in red[4] and "dupont" not in red[4] and "<ip>" in red[9]
+
+
+def test_network_finds_other_forms_and_leaves_prose():
+    m = pii.trained()
+    for text, kind in (("mail to john.doe at mailhost dot com please", 0), ("call (212) 555-0199 now", 3), ("host 10[.]0[.]0[.]1 is up", 1)):
+        assert pii.find(m, [text])[0][1][kind]
+    assert not any(pii.find(m, ["we met at the house. dot com was a thing in 1999, version 1.2.3 on 2020-01-11"])[0][1])
+
+
+def test_unpruned_viterbi_gives_the_same_tags():
+    m = pii.trained()
+    codes, _ = pii.labelled(60, 72, 5)
+    maybe, tags = pii.decode(m, codes)
+    full = pii.viterbi(pii.emissions(m, codes), m.moves)
+    rest = np.setdiff1d(np.arange(60), maybe)
+    assert (full[maybe] == tags).all() and not full[rest].any()
+
+
+def test_crf_slopes_by_differences():
+    rng = np.random.default_rng(0)
+    emit, moves, tags = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, (2, 4))
+    base, d_emit, d_moves = pii.crf_slopes(emit, moves, tags)
+    for at in ((0, 1, 2), (1, 3, 0)):
+        e = emit.copy()
+        e[at] += 1e-6
+        assert (pii.crf_slopes(e, moves, tags)[0] - base) / 1e-6 == pytest.approx(d_emit[at], abs=1e-4)
+    v = moves.copy()
+    v[1, 2] += 1e-6
+    assert (pii.crf_slopes(emit, v, tags)[0] - base) / 1e-6 == pytest.approx(d_moves[1, 2], abs=1e-4)
+
+
+# --- language ---------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark, docs, edge_docs, no_docs):
+    model = language_id.fit(docs)
+    rows = language_id.identify(docs, model=model, keep=("lang",)).collect()
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.9 * len(held)
+    edge = {r.doc_id: r for r in language_id.identify(edge_docs, model=model).collect()}
+    assert all(edge[i].lang_pred == "und" and edge[i].score == 0 for i in (5, 6, 7)) and 0 < edge[8].score <= 1
+    assert language_id.identify(no_docs).count() == 0 and language_id.fit(no_docs) is None
+
+
+def test_language_windows_cover_whole_texts():
+    rng = np.random.default_rng(1)
+    m = language_id.train([b"abc abd", b"xyz xyy"] * 4, [0, 1] * 4, ["a", "x"])
+    text = "".join(rng.choice(list("abcxyz "), 1000))
+    langs, scores = language_id.predict(m, [text, "q" * 3, text])
+    pad = np.full(language_id.CONTEXT, 256)
+    whole = np.concatenate([pad, np.frombuffer(text.encode(), np.uint8), pad])
+    total = np.zeros(2)
+    for start in range(0, len(text), language_id.CORE):  # each position once, with context on both sides
+        core = min(language_id.CORE, len(text) - start)
+        x = whole[None, start : start + core + 2 * language_id.CONTEXT]
+        total += language_id.position_probabilities(m, x)[0, language_id.CONTEXT : language_id.CONTEXT + core].sum(0)
+    assert scores[0] == scores[2] and scores[0] == pytest.approx(total.max() / len(text), abs=1e-3)
+
+
+# --- licenses ---------------------------------------------------------------
+
+
+def test_licenses_against_brute_force(edge_docs, no_docs):
+    rng = np.random.default_rng(1)
+    index = license_scan.Index.build(license_scan.TEMPLATES)
+    texts = []
+    for _ in range(150):
+        words = license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))][1].split()
+        if len(words) > 34:
+            words[rng.integers(len(words))] = "zzz"
+        fill = lambda: " ".join(rng.choice(["foo", "bar", "the", "of", "license", "under"], rng.integers(0, 60)))
+        texts.append(f"{fill()} {' '.join(words)} {fill()}")
+    found = license_scan.find(index, texts)
+    for text, got in zip(texts, found, strict=True):
+        g, _ = license_scan.shingles([text])
+        want = {n for n, s, k in zip(index.names, index.sets, index.lengths, strict=True) if license_scan.best_run(s, k, g, 0, len(g))}
+        assert {f[0] for f in got} == want
+    rows = {r.doc_id: r for r in license_scan.scan(edge_docs).collect()}
+    assert rows[10].notices == "MIT:0:5:100" and rows[5].n_notices == rows[6].n_notices == 0
+    assert license_scan.scan(no_docs).count() == 0
+
+
+# --- quality and mixing -----------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op7_quality_rules", "op9_mixing"])
+def test_query_matches_sql(spark, name):
+    assert rows_of(QUERIES[name](spark, SF)) == duck_rows(ORACLE_SQL[name], SF)
+
+
+def test_quality_of_edges(spark, edge_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (8, None)], "doc_id long, quality int")
+    rows = quality_rules.judge(edge_docs, labels).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == 13 and by[5].n_words == 0 and by[5].base_failed and not by[5].kept
+    assert by[8].n_words == 20000 and by[8].n_repeat_words == 20000 and by[8].base_failed
+    assert quality_rules.judge(no_docs, labels).count() == 0 and quality_rules.judge(edge_docs, labels.where("false")).count() == 13
+
+
+def test_thresholds_bound_false_rejections(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "en", 100, 1000, 300 if i % 500 == 0 else 2, 0, 10, 0, 0) for i in range(6000)]
+    found = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_marks long, n_lines long, n_dup_lines long, n_repeat_words long")
+    labels = found.select("doc_id", F.lit(1).alias("quality"))
+    cut = quality_rules.thresholds(found, labels, 0.01, 0.05).first()
+    assert cut.cut_symbols == 5  # 0.2 % of good documents are rejected by it, which 3000 labels show to be under 1 %
+    few = quality_rules.thresholds(found.where("doc_id < 200"), labels, 0.01, 0.05).first()
+    assert few.cut_symbols is None
+
+
+def test_binomial_cdf(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(quality_rules.binomial_cdf(F.lit(3).cast("long"), F.lit(20).cast("long"), 0.1)).first()[0]
+    assert got == pytest.approx(sum(comb(20, i) * 0.1**i * 0.9 ** (20 - i) for i in range(4)))
+
+
+def test_mixing_rates_and_edges(spark, edge_docs, no_docs):
+    n = 4000
+    big = spark.range(n).selectExpr("id as doc_id", "repeat('x', 10) as text", "if(id < 1000, 'a', 'b') as source")
+    got = {r.source: r["count"] for r in mixing.replicate(big, weights={"a": 0.5, "b": 0.5}).groupBy("source").count().collect()}
+    assert got["a"] == pytest.approx(2000, rel=0.08) and got["b"] == pytest.approx(2000, rel=0.08)
+    assert mixing.replicate(no_docs).count() == 0
+    out = mixing.replicate(edge_docs)
+    assert set(edge_docs.columns) < set(out.columns)
+    assert mixing.replicate(edge_docs).select("doc_id", "_replica").collect() == out.select("doc_id", "_replica").collect()
+
+
+# --- URLs -------------------------------------------------------------------
+
+
+def test_urls_and_rules(spark):
+    rules = url_filter.parse_rules(["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"])
+    book = url_filter.RuleBook(rules)
+    cases = {
+        "http://A.example.com/en/75?x": ("a.example.com", "/en/75", "example.com/en/7", "allow"), "http://a.example.com/en/5#y": ("a.example.com", "/en/5", "com/en/", "block"), "https://x.example.net/de/8": ("x.example.net", "/de/8", "example.net/de/8", "block"),
+        "http://notcom/en/": ("notcom", "/en/", None, None), "http://com/en/": ("com", "/en/", "com/en/", "block"), "nothing": ("", "", None, None), None: ("", "", None, None), "http://h?x/y://z": ("h", "", None, None),
+    }
+    for url, (host, path, rule, verdict) in cases.items():
+        assert url_filter.split_url(url) == (host, path)
+        assert book.judge(host, path) == ((rule, verdict) if rule else None)
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] + [(0, next(iter(cases)))], "page_id long, url string")
+    rows = url_filter.judge(pages, rules).collect()
+    assert len(rows) == len(cases) + 1 and all(r.verdict in ("allow", "block") for r in rows)
+    assert url_filter.judge(pages.where("false"), rules).count() == 0
+
+
+def test_segmentation_is_the_cheapest_split():
+    s = url_filter.Segmenter({"ads": 10, "track": 10, "a": 1, "dst": 1, "rack": 1})
+    assert s.split("adstrack") == ["ads", "track"] and s.split("") == [] and "".join(s.split("qqadszz")) == "qqadszz"
