@@ -2,8 +2,9 @@
 
 A shingle is hashed to a point of a ring of 2^32 places by a first permutation; coordinate k of a signature is the least
 value of a second permutation over the set's points, shifted k places round the ring. Bands of coordinates name buckets.
-Copies with equal shingle sets are one node from the start. In a bucket, nodes are compared to a leader; then nodes that
-share a bucket but no component yet are compared with each other, so that no pair of a bucket stays unsettled. A link
+Copies with equal shingle sets are one node from the start. In a bucket, nodes are compared to a leader, twice more to leaders of other
+choice, and then what shares a bucket but no component is compared in blocks, so that no pair of a bucket stays
+unsettled. A link
 counts only if the full shingle sets confirm it. Components come from rounds of hooking to smaller neighbours and edge
 contraction, all in tables of the shared folder.
 """
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches, hash_texts, materialise, mix32, mix64, only
+from .common import LOWER, batches, forget, hash_texts, materialise, mix32, mix64, only
 
 BANDS, ROWS = 32, 4  #: a pair of similarity 0.8 shares no band with a chance of 5e-8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +108,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: st
 def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that sizes allow, with their agreeing sketch bytes; far fewer than the threshold needs are dropped.
 
-    Of 128 coordinates a pair at the threshold of 80 agrees in under 64 with a chance of 4e-13.
+    Of 128 coordinates a pair at the threshold of 80 agrees in under 77 (60 %) with a chance of some 1e-7.
     """
     side = nodes.select("node", "n_shingles", "sketch")
     both = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
@@ -119,7 +120,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 continue
             left, right = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint8).reshape(part.num_rows, -1) for i in (2, 3))
             same = (left == right).sum(1)
-            ok = np.flatnonzero(same * 100 >= (percent - 30) * left.shape[1])
+            ok = np.flatnonzero(same * 100 >= (percent - 20) * left.shape[1])
             kept = part.take(pa.array(ok))
             yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(same[ok].astype(np.int64))], ["a", "b", "same"])
 
@@ -145,6 +146,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+#: Shingles of one block's side in the last comparison: what a task holds, beyond a single longer text.
+BLOCK_SHINGLES = 400_000
+
+
+def _between(rows: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between different labels of one group, every pair settled on full sets, in blocks.
+
+    rows: group, node, label, n_shingles, shingles. Each group's largest label is compared with the rest, and the rest
+    among themselves. Blocks bound what a task holds; only confirmed links leave it.
+    """
+    sizes = rows.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    totals = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("w").alias("w"), (F.sum("w") - F.max_by("w", F.struct("n", "label"))).alias("v"))
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK_SHINGLES).cast("int")
+    placed = rows.join(materialise(totals.select("group", "main", blocks("w").alias("many"), F.greatest(F.lit(1), blocks("v")).alias("few")), "groups"), "group")
+    spot = lambda c: F.pmod(F.xxhash64("node"), F.col(c).cast("long")).cast("int")
+    every = placed.select("group", spot("many").alias("i"), F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("j"), "node", "label", "shingles")
+    rest = placed.where("label <> main").select("group", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("i"), spot("few").alias("j"), "node", "label", "shingles").toDF("group2", "i2", "j2", "node2", "label2", "shingles2")
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if left.num_rows and right.num_rows:
+            nodes, labels = left["node"].to_pylist(), np.array(left["label"].to_pylist())
+            sets = [np.frombuffer(x, np.uint64) for x in left["shingles"].to_pylist()]
+            flat, n = np.concatenate(sets), np.array([len(x) for x in sets])
+            starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+            for node, label, x in zip(*[right[c].to_pylist() for c in ("node2", "label2", "shingles2")], strict=True):
+                own = np.frombuffer(x, np.uint64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                for i in np.flatnonzero((100 * common >= percent * (n + len(own) - common)) & (labels != label)):
+                    a.append(nodes[i])
+                    b.append(node)
+        return pa.table({"a": pa.array(a, left.schema.field("node").type), "b": pa.array(b, left.schema.field("node").type)})
+
+    return every.groupBy("group", "i", "j").cogroup(rest.groupBy("group2", "i2", "j2")).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 class Components:
     """Labels of nodes under links that come in rounds: the least node of each component. A node without a row is its own."""
 
@@ -208,10 +247,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = materialise(_sets(docs, ids, width, id_col, text_col), "sets")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
+        best = materialise(best, "best")
         known.add(materialise(_confirmed(best, sets, percent), "links"))
         rest = materialise(known.apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti")), "rest")
         if not rest.isEmpty():
             known.add(materialise(_confirmed(rest, sets, percent), "links"))
+        forget(sets)
 
     def unsettled(table: DataFrame) -> DataFrame:
         """Bucket members with labels, of buckets that hold more than one component."""
@@ -223,22 +264,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     settle(likely)
     tried = likely.select("a", "b")
     open_ = unsettled(members)
-    for salt in range(2):  # other leaders join most of what is left
+    for salt in range(2):  # other leaders, chosen for each bucket anew, join most of what is left
         if open_.isEmpty():
             break
-        other = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(salt))).alias("leader"))
+        other = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(salt))).alias("leader"))
         pairs = known.apart(star(open_.join(other, "bucket")).join(tried, ["a", "b"], "left_anti"))
         more = materialise(_likely(pairs, nodes, percent), "likely")
         if not more.isEmpty():
             settle(more)
             tried = tried.union(more.select("a", "b"))
         open_ = unsettled(open_)
-    if not open_.isEmpty():  # every remaining pair of a bucket that could still join two components
-        left, right = open_.toDF("bucket", "a", "_x"), open_.toDF("bucket", "b", "_y")
-        pairs = left.join(right, "bucket").where("a < b and _x <> _y").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialise(_likely(pairs, nodes, percent), "likely")
-        if not more.isEmpty():
-            settle(more)
+    if not open_.isEmpty():  # whatever could still join two components: all of a cluster of shared buckets, in blocks
+        cluster = Components(nodes)
+        first = open_.groupBy("bucket").agg(F.min("node").alias("a"))
+        cluster.add(materialise(open_.join(first, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "touching"))
+        ids = open_.select("node", "label").distinct()
+        sets = _sets(docs, ids.select("node"), width, id_col, text_col).dropDuplicates(["node"])
+        rows = cluster.of(ids, "node", "group").join(nodes.select("node", "n_shingles"), "node").join(sets, "node")
+        known.add(materialise(_between(materialise(rows, "blocks"), percent).distinct(), "links"))
 
     component = known.of(classes, "node", "component_id").select(F.col("digest").alias("_key"), "component_id")
     # Rows without a set get a key of their own, else they would meet in one task.
