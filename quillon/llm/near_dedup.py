@@ -2,11 +2,10 @@
 
 A shingle is hashed to a point of a ring of 2^32 places by a first permutation; coordinate k of a signature is the least
 value of a second permutation over the set's points, shifted k places round the ring. Bands of coordinates name buckets.
-Copies with equal shingle sets are one node from the start. In a bucket, nodes are compared to a leader, twice more to leaders of other
-choice, and then what shares a bucket but no component is compared in blocks, so that no pair of a bucket stays
-unsettled. A link
-counts only if the full shingle sets confirm it. Components come from rounds of hooking to smaller neighbours and edge
-contraction, all in tables of the shared folder.
+Copies with equal shingle sets are one node from the start. In a bucket, nodes are compared to a leader, then to one of
+other choice, and then what shares a bucket but no component is compared in blocks, so that no pair of a bucket stays
+unsettled. A link counts only if the full shingle sets confirm it. Components come from rounds of hooking to smaller
+neighbours and edge contraction, all in tables of the shared folder.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches, forget, hash_texts, materialise, mix32, mix64, only
+from .common import LOWER, batches, hash_texts, materialise, mix32, mix64, only
 
 BANDS, ROWS = 32, 4  #: a pair of similarity 0.8 shares no band with a chance of 5e-8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -93,8 +92,9 @@ def _base(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """node, full sorted shingle set, of the documents named in ids."""
-    wanted = only(docs, id_col, text_col).withColumnRenamed(id_col, "node").join(ids, "node", "left_semi")
+    """node, full sorted shingle set, of the documents named in ids (a row for each, where an id repeats)."""
+    # The ids always shuffle, whatever their size: plans, and so what is moved, are alike at every scale.
+    wanted = only(docs, id_col, text_col).withColumnRenamed(id_col, "node").join(ids.hint("shuffle_hash"), "node", "left_semi")
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
@@ -147,7 +147,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Shingles of one block's side in the last comparison: what a task holds, beyond a single longer text.
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 
 
 def _between(rows: DataFrame, percent: int) -> DataFrame:
@@ -237,6 +237,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     in_bands = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = in_bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
     members = materialise(in_bands.join(shared, "bucket"), "members")
+    sets = materialise(_sets(docs, members.select("node").distinct(), width, id_col, text_col), "sets")
     known = Components(nodes)
 
     def star(table: DataFrame) -> DataFrame:
@@ -244,15 +245,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     def settle(pairs: DataFrame) -> None:
         """Confirm pairs (in a table) that may link two components, the likeliest of each node first."""
-        ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = materialise(_sets(docs, ids, width, id_col, text_col), "sets")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("same", "a")).alias("a")).select("a", "b")
         best = materialise(best, "best")
         known.add(materialise(_confirmed(best, sets, percent), "links"))
         rest = materialise(known.apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti")), "rest")
         if not rest.isEmpty():
             known.add(materialise(_confirmed(rest, sets, percent), "links"))
-        forget(sets)
 
     def unsettled(table: DataFrame) -> DataFrame:
         """Bucket members with labels, of buckets that hold more than one component."""
@@ -262,24 +260,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     likely = materialise(_likely(star(members), nodes, percent), "likely")
     settle(likely)
-    tried = likely.select("a", "b")
     open_ = unsettled(members)
-    for salt in range(2):  # other leaders, chosen for each bucket anew, join most of what is left
-        if open_.isEmpty():
-            break
-        other = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(salt))).alias("leader"))
-        pairs = known.apart(star(open_.join(other, "bucket")).join(tried, ["a", "b"], "left_anti"))
+    if not open_.isEmpty():  # other leaders, chosen for each bucket anew, join most of what is left
+        other = open_.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("leader"))
+        pairs = known.apart(star(open_.join(other, "bucket")).join(likely.select("a", "b"), ["a", "b"], "left_anti"))
         more = materialise(_likely(pairs, nodes, percent), "likely")
         if not more.isEmpty():
             settle(more)
-            tried = tried.union(more.select("a", "b"))
         open_ = unsettled(open_)
     if not open_.isEmpty():  # whatever could still join two components: all of a cluster of shared buckets, in blocks
         cluster = Components(nodes)
         first = open_.groupBy("bucket").agg(F.min("node").alias("a"))
         cluster.add(materialise(open_.join(first, "bucket").select("a", F.col("node").alias("b")).where("a <> b").distinct(), "touching"))
         ids = open_.select("node", "label").distinct()
-        sets = _sets(docs, ids.select("node"), width, id_col, text_col).dropDuplicates(["node"])
         rows = cluster.of(ids, "node", "group").join(nodes.select("node", "n_shingles"), "node").join(sets, "node")
         known.add(materialise(_between(materialise(rows, "blocks"), percent).distinct(), "links"))
 
