@@ -14,8 +14,8 @@ from quillon.llm import language_id, mixing, near_dedup, packing, pii
 from quillon.llm.common import documents, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document whose language is less sure than this is rejected; clean prose of a learned language is far above.
-LEAST_SCORE = 0.4
+#: A document whose language is less sure than this is rejected: barely more than chance among four languages.
+LEAST_SCORE = 0.27
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
