@@ -1,7 +1,7 @@
 """URL filters: rules by longest match, then host word segmentation and multinomial naive Bayes.
 
-A unigram model of words (counted over the parts of all hosts and paths, with a small prior list) splits concatenated
-host labels by Viterbi. A multinomial naive Bayes over the words of host and path learns allow and block from the pages
+A unigram model of words (counted over the parts of host labels and path segments that separators part, and over path
+words, with a small prior list, but never over the whole labels that it splits) splits concatenated host labels by Viterbi. A multinomial naive Bayes over the words of host and path learns allow and block from the pages
 that the rules decide, and judges the pages that no rule fits.
 """
 
@@ -98,16 +98,18 @@ class Segmenter:
         n = len(label)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         unknown = math.log(self.total + 1) + 2
+        piece, start = math.inf, 0  # the cheapest split that ends in an unknown piece, and where that begins
         for i in range(1, n + 1):
+            # An unknown piece may be of any length; growing it costs a fixed price for each character.
+            if best[i - 1] + unknown < piece:
+                piece, start = best[i - 1] + unknown, i - 1
+            piece += math.log(10)
             for j in range(max(0, i - self.longest), i):
                 c = self.cost.get(label[j:i])
                 if c is not None and best[j] + c < best[i]:
                     best[i], back[i] = best[j] + c, j
-            # An unknown piece may be of any length; growing it costs a fixed price for each character.
-            for j, c in ((i - 1, unknown + math.log(10)), (back[i - 1], 0.0)):
-                grown = best[j] + (c or unknown + math.log(10) * (i - j))
-                if grown < best[i]:
-                    best[i], back[i] = grown, j
+            if piece < best[i]:
+                best[i], back[i] = piece, start
         words = []
         while n > 0:
             words.append(label[back[n] : n])
@@ -134,23 +136,46 @@ def _common(df: DataFrame, keys: list[str]) -> list:
     return df.groupBy(*keys).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), *keys).limit(VOCABULARY).collect()
 
 
-def fit_words(pages: DataFrame, url_col: str) -> dict[str, int]:
-    """Word counts of host and path parts over all pages, with the prior's."""
+def _words(text: str) -> list[str]:
+    """Words of a host label or path segment that separators part: the letters of each of its fields."""
+    return [w for field_ in re.split(r"[\W_]+", text) for w in parts(field_) if not w.isdigit() and len(w) <= 64]
+
+
+def word_counts(pages: DataFrame, url_col: str) -> DataFrame:
+    """w and n: the distinct host labels and path segments that hold the word as a part, and the prior's counts.
+
+    A label of one field is what is to be split, so it is no evidence that it is a word: it counts nothing, neither as a
+    label nor as a path segment of its own. What a separator parts ('casino-win') counts in labels and paths alike.
+    Distinct texts count, not pages, so that a code in every path ('/en/') doesn't become likely inside of labels.
+    """
 
     def run(batches):
-        seen: Counter = Counter()
         for b in batches:
+            seen: dict[tuple[str, bool], tuple[bool, list[str]]] = {}
             for u in b.column(0).to_pylist():
                 host, path = split_url(u)
-                seen.update(w for w in parts(host) + parts(path) if not w.isdigit() and len(w) <= 64)
-            if len(seen) > TABLE_ENTRIES:
-                yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, pa.schema([("w", pa.string()), ("n", pa.int64())]))
-                seen = Counter()
-        yield pa.RecordBatch.from_pydict({"w": list(seen), "n": list(seen.values())}, pa.schema([("w", pa.string()), ("n", pa.int64())]))
+                for text, in_host in [(t, True) for t in host.split(".")] + [(t, False) for t in path.lower().split("/")]:
+                    if text and (text, in_host) not in seen:
+                        lone = sum(any(not w.isdigit() for w in parts(f)) for f in re.split(r"[\W_]+", text)) < 2
+                        seen[text, in_host] = lone, _words(text)
+            rows = [(t, in_host, lone, words) for (t, in_host), (lone, words) in seen.items() if words]
+            yield pa.RecordBatch.from_pydict(
+                {"text": [r[0] for r in rows], "label": [r[1] and r[2] for r in rows], "lone": [r[2] for r in rows], "words": [r[3] for r in rows]},
+                pa.schema([("text", pa.string()), ("label", pa.bool_()), ("lone", pa.bool_()), ("words", pa.list_(pa.string()))]),
+            )
+
+    texts = only(pages, url_col).mapInArrow(run, "text string, label boolean, lone boolean, words array<string>")
+    texts = texts.groupBy("text").agg(F.bool_or("label").alias("label"), F.first("lone").alias("lone"), F.first("words").alias("words"))
+    words = texts.select("label", "lone", F.explode("words").alias("w"))
+    seen = words.groupBy("w").agg(F.count_if(~F.col("lone")).alias("parted"), F.count_if(F.col("lone")).alias("alone"), F.bool_or("label").alias("label"))
+    n = F.col("parted") + F.when(F.col("label"), 0).otherwise(F.col("alone"))
+    prior = pages.sparkSession.createDataFrame(list(PRIOR.items()), "w string, n long")
+    return seen.select("w", n.alias("n")).where("n > 0").unionByName(prior).groupBy("w").agg(F.sum("n").alias("n"))
+
 
-    counts = Counter({r["w"]: r["n"] for r in _common(only(pages, url_col).mapInArrow(run, "w string, n long"), ["w"])})
-    counts.update(PRIOR)
-    return dict(counts)
+def fit_words(pages: DataFrame, url_col: str) -> dict[str, int]:
+    """The commonest VOCABULARY words of word_counts()."""
+    return {r["w"]: r["n"] for r in _common(word_counts(pages, url_col), ["w"])}
 
 
 @dataclass

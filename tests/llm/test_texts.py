@@ -292,3 +292,10 @@ def test_urls_and_rules(spark):
 def test_segmentation_is_the_cheapest_split():
     s = url_filter.Segmenter({"ads": 10, "track": 10, "a": 1, "dst": 1, "rack": 1})
     assert s.split("adstrack") == ["ads", "track"] and s.split("") == [] and "".join(s.split("qqadszz")) == "qqadszz"
+
+
+def test_concatenated_hosts_of_the_table_are_split(spark):
+    urls = ["http://casinowin.example.com/en/1", "http://www.freebets.net/", "http://cheappills.org/cheappills/2", "http://bestcasinonews.com/de/3", "http://spam-farm.example.com/en/4", "http://spamfarm.org/en/5", "http://m.blog.vexren.net/en/6", "http://free-bets.org/es/7", "http://ththen.org/en/8"]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "org", "/")]).collect()
+    want = ["casino win example com", "www free bets net", "cheap pills org", "best casino news com", "spam farm example com", "spam farm org", "m blog vexren net", "free bets org", "ththen org"]
+    assert [r.host_words for r in sorted(rows)] == want
