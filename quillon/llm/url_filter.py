@@ -2,26 +2,23 @@
 
 A unigram model of words (counted over the parts of host labels and path segments that separators part, and over path
 words, with a small prior list, but never over the whole labels that it splits) splits concatenated host labels by Viterbi. A multinomial naive Bayes over the words of host and path learns allow and block from the pages
-that the rules decide, and judges the pages that no rule fits.
+that the rules decide, and judges the pages that no rule fits. Both word tables are whole: they stay in Spark, and labels and tokens are joined to them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import materialise, only
 
-#: Words that either model keeps, the commonest; the others share one place. A bound on what the driver holds.
-VOCABULARY = 50_000
-#: Memoised segmentations of a worker; beyond it the table starts anew (a matter of speed only).
-TABLE_ENTRIES = 200_000
+#: Letters of the longest word; the labels of a legal host have at most 63.
+LONGEST = 64
 #: Common host words with prior counts, so that usual compounds split before any data are seen.
 PRIOR = {w: 50 for w in "ads ad track tracker click clicks banner casino poker bet win free cheap deal deals shop store buy sale pills adult porn sex xxx dating loan credit news blog forum wiki mail web www cdn static img media video music game games download online site page home my the best top world daily health travel food tech data cloud app mobile".split()}
 _PART = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
@@ -85,16 +82,14 @@ class Segmenter:
     """Unigram Viterbi over words; an unknown piece of n characters costs as much as a word of 10^-n probability."""
 
     counts: dict[str, int]
-    memo: dict[str, list[str]] = field(default_factory=dict)
+    total: int = 0  # of all words, where counts holds only those that a label can use
 
     def __post_init__(self):
-        self.total = sum(self.counts.values()) or 1
+        self.total = self.total or sum(self.counts.values()) or 1
         self.cost = {w: -math.log(n / (self.total + 1)) for w, n in self.counts.items()}
         self.longest = max(map(len, self.cost), default=1)
 
     def split(self, label: str) -> list[str]:
-        if (known := self.memo.get(label)) is not None:
-            return known
         n = len(label)
         best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
         unknown = math.log(self.total + 1) + 2
@@ -114,31 +109,12 @@ class Segmenter:
         while n > 0:
             words.append(label[back[n] : n])
             n = back[n]
-        if len(self.memo) >= TABLE_ENTRIES:
-            self.memo.clear()
-        self.memo[label] = words[::-1]
-        return self.memo[label]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host's labels ('h:' before) and of the path ('p:'); numbers become '#'."""
-        out = []
-        for where, text in (("h:", host), ("p:", path)):
-            for p in parts(text):
-                if p.isdigit():
-                    out.append(where + "#")
-                else:
-                    out += [where + w for w in (self.split(p) if where == "h:" else [p])]
-        return out
-
-
-def _common(df: DataFrame, keys: list[str]) -> list:
-    """The commonest VOCABULARY groups of partial counts, ties in key order."""
-    return df.groupBy(*keys).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), *keys).limit(VOCABULARY).collect()
+        return words[::-1]
 
 
 def _words(text: str) -> list[str]:
     """Words of a host label or path segment that separators part: the letters of each of its fields."""
-    return [w for field_ in re.split(r"[\W_]+", text) for w in parts(field_) if not w.isdigit() and len(w) <= 64]
+    return [w for field_ in re.split(r"[\W_]+", text) for w in parts(field_) if not w.isdigit() and len(w) <= LONGEST]
 
 
 def word_counts(pages: DataFrame, url_col: str) -> DataFrame:
@@ -173,52 +149,40 @@ def word_counts(pages: DataFrame, url_col: str) -> DataFrame:
     return seen.select("w", n.alias("n")).where("n > 0").unionByName(prior).groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def fit_words(pages: DataFrame, url_col: str) -> dict[str, int]:
-    """The commonest VOCABULARY words of word_counts()."""
-    return {r["w"]: r["n"] for r in _common(word_counts(pages, url_col), ["w"])}
-
-
-@dataclass
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing over a bounded vocabulary and one place for other words."""
-
-    words: dict[str, tuple[int, int]]  # allow, block
-    totals: tuple[int, int]
-    pages: tuple[int, int]
+def segment(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """words of each distinct label and their tokens ('h:' before, numbers as '#'), parted by spaces.
 
-    def __post_init__(self):
-        n = len(self.words) + 1
-        self.log = {w: math.log((b + 1) / (self.totals[1] + n)) - math.log((a + 1) / (self.totals[0] + n)) for w, (a, b) in self.words.items()}
-        self.other = math.log(1 / (self.totals[1] + n)) - math.log(1 / (self.totals[0] + n))
-        self.prior = math.log((self.pages[1] + 1) / (self.pages[0] + 1))
-
-    def block_score(self, tokens: list[str]) -> float:
-        """Log odds of block against allow."""
-        return self.prior + sum(self.log.get(t, self.other) for t in tokens)
+    Each label meets the counts of its own substrings by a join, so no task or driver holds the word table.
+    """
+    total = words.agg(F.sum("n")).first()[0]
 
+    def pieces(batches):
+        for b in batches:
+            owners, found = [], []
+            for label in b.column(0).to_pylist():
+                own = set() if label.isdigit() else {label[i:j] for i in range(len(label)) for j in range(i + 1, min(len(label), i + LONGEST) + 1)}
+                owners += [label] * len(own)
+                found += own
+                if len(found) > 100_000:
+                    yield pa.RecordBatch.from_pydict({"label": owners, "w": found})
+                    owners, found = [], []
+            yield pa.RecordBatch.from_pydict({"label": owners, "w": found}, pa.schema([("label", pa.string()), ("w", pa.string())]))
+
+    def split(batches):
+        for b in batches:
+            out = []
+            for label, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                out.append([label] if label.isdigit() else Segmenter({k["w"]: k["n"] for k in known or ()}, total).split(label))
+            tokens = [" ".join("h:#" if w.isdigit() else "h:" + w for w in ws) for ws in out]
+            yield pa.RecordBatch.from_pydict({"label": b.column(0), "words": [" ".join(ws) for ws in out], "tokens": tokens}, pa.schema([("label", pa.string()), ("words", pa.string()), ("tokens", pa.string())]))
 
-def fit_bayes(pages: DataFrame, url_col: str, book: RuleBook, segmenter: Segmenter) -> Bayes:
-    """Counts of words by verdict over all pages that a rule decides."""
-    shape = pa.schema([("w", pa.string()), ("block", pa.int64()), ("n", pa.int64())])
+    hits = labels.mapInArrow(pieces, "label string, w string").join(words, "w").groupBy("label").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    return labels.join(hits, "label", "left").select("label", "known").mapInArrow(split, "label string, words string, tokens string")
 
-    def run(batches):
-        seen: Counter = Counter()
-        for b in batches:
-            for u in b.column(0).to_pylist():
-                host, path = split_url(u)
-                if verdict := book.judge(host, path):
-                    is_block = int(verdict[1] == "block")
-                    seen.update((w, is_block) for w in ["", *segmenter.tokens(host, path)])  # '' counts the pages
-            if len(seen) > TABLE_ENTRIES:
-                yield pa.RecordBatch.from_pydict({"w": [k[0] for k in seen], "block": [k[1] for k in seen], "n": list(seen.values())}, shape)
-                seen = Counter()
-        yield pa.RecordBatch.from_pydict({"w": [k[0] for k in seen], "block": [k[1] for k in seen], "n": list(seen.values())}, shape)
 
-    words: dict[str, list[int]] = {}
-    for r in _common(only(pages, url_col).mapInArrow(run, "w string, block long, n long"), ["w", "block"]):
-        words.setdefault(r["w"], [0, 0])[r["block"]] = r["n"]
-    pages_ = words.pop("", [0, 0])
-    return Bayes({w: (a, b) for w, (a, b) in words.items()}, (sum(a for a, _ in words.values()), sum(b for _, b in words.values())), (pages_[0], pages_[1]))
+def _each(tokens: str) -> Column:
+    """The tokens of a column, one row for each; none for ''."""
+    return F.explode(F.filter(F.split(tokens, " "), lambda t: t != "")).alias("t")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -229,24 +193,46 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     table gives none; other columns are not looked at.
     """
     book = RuleBook(rules)
-    segmenter = Segmenter(fit_words(pages, url_col))
-    bayes = fit_bayes(pages, url_col, book, segmenter)
+    kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             rows = []
             for u in b.column(1).to_pylist():
                 host, path = split_url(u)
-                words = [w for p in parts(host) for w in (segmenter.split(p) if not p.isdigit() else [p])]
-                if verdict := book.judge(host, path):
-                    rows.append((host, path, verdict[0], verdict[1], None, " ".join(words)))
-                else:
-                    score = bayes.block_score(segmenter.tokens(host, path))
-                    rows.append((host, path, None, "block" if score > 0 else "allow", score, " ".join(words)))
+                rule, verdict = book.judge(host, path) or (None, None)
+                rows.append((host, path, rule, verdict, " ".join(parts(host)), " ".join("p:#" if w.isdigit() else "p:" + w for w in parts(path))))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.string()] * 4 + [pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["id", "host", "path", "rule", "verdict", "block_score", "host_words"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    out = only(pages, id_col, url_col).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, block_score double, host_words string")
-    return out.withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.string()) for c in columns]], ["id", "host", "path", "rule", "verdict", "labels", "path_tokens"])
+
+    parsed = only(pages, id_col, url_col).mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string, labels string, path_tokens string")
+    decided = [F.count_if(F.col("verdict") == v).alias(v) for v in ("allow", "block")]
+    # Words are counted and scored once for each distinct host and path; pages only join the sums.
+    hosts = materialise(parsed.groupBy("labels").agg(*decided), "hosts")
+    paths = materialise(parsed.groupBy("path_tokens").agg(*decided), "paths")
+    label = hosts.select("labels", "allow", "block", F.posexplode(F.split("labels", " ")).alias("pos", "label")).where("label <> ''")
+    parted = segment(label.select("label").distinct(), materialise(word_counts(pages, url_col), "words"))
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "words", "tokens")))
+    joined = label.join(parted, "label").groupBy("labels").agg(F.first("allow").alias("allow"), F.first("block").alias("block"), in_order.alias("x"))
+    hosts = materialise(joined.select("labels", "allow", "block", *[F.array_join(f"x.{c}", " ").alias(c) for c in ("words", "tokens")]), "host-words")
+    seen = hosts.select("allow", "block", _each("tokens")).unionByName(paths.select("allow", "block", _each("path_tokens")))
+    counts = materialise(seen.groupBy("t").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).where("allow + block > 0"), "word-verdicts")
+    sums = counts.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("allow", "block")]).first()
+    known = paths.agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in ("allow", "block")]).first()
+    places = sums["n"] + 1  # one for words never seen
+    odds = F.ln((F.col("block") + 1) / (sums["block"] + places)) - F.ln((F.col("allow") + 1) / (sums["allow"] + places))
+    other = math.log(1 / (sums["block"] + places)) - math.log(1 / (sums["allow"] + places))
+    logs = counts.select("t", odds.alias("odds"))
+
+    def scored(df: DataFrame, key: str, tokens: str, name: str) -> DataFrame:
+        each = df.select(F.col(key), _each(tokens)).join(logs, "t", "left")
+        # Summed in order of size, so that the last bits don't hang on the order of rows.
+        ordered = F.sort_array(F.collect_list(F.coalesce("odds", F.lit(other))))
+        return each.groupBy(key).agg(F.aggregate(ordered, F.lit(0.0), lambda a, x: a + x).alias(name))
+
+    out = parsed.join(hosts.select("labels", "words"), "labels", "left").join(scored(hosts, "labels", "tokens", "host_score"), "labels", "left")
+    out = out.join(scored(paths, "path_tokens", "path_tokens", "path_score"), "path_tokens", "left")
+    score = F.lit(math.log((known["block"] + 1) / (known["allow"] + 1))) + F.coalesce("host_score", F.lit(0.0)) + F.coalesce("path_score", F.lit(0.0))
+    out = out.withColumn("block_score", F.when(F.col("verdict").isNull(), score))
+    verdict = F.coalesce("verdict", F.when(F.col("block_score") > 0, "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score", F.coalesce("words", F.lit("")).alias("host_words"))

@@ -299,3 +299,25 @@ def test_concatenated_hosts_of_the_table_are_split(spark):
     rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), [("block", "org", "/")]).collect()
     want = ["casino win example com", "www free bets net", "cheap pills org", "best casino news com", "spam farm example com", "spam farm org", "m blog vexren net", "free bets org", "ththen org"]
     assert [r.host_words for r in sorted(rows)] == want
+
+
+def test_bayes_counts_words_beyond_any_number(spark):
+    from collections import Counter
+    from math import log
+
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3, -1, -1))
+    urls = [f"http://{'vexx' if i % 3 else 'qorr'}.test/{word(i)}" for i in range(52_000)] + ["http://vexx.test/zzzz", "http://qorr.test/zzzy/zzzy", "http://vexx.test/zzzy", "http://else.test/zzzz", "http://else.test/zzzy", "http://else.test/zzzx"]
+    rules = [("block", "vexx.test", ""), ("allow", "qorr.test", "")]
+    seen = {"block": Counter(), "allow": Counter()}
+    pages = Counter()
+    for u in urls[:-3]:
+        kind = "block" if "vexx" in u else "allow"
+        pages[kind] += 1
+        seen[kind].update(["h:vexx" if "vexx" in u else "h:qorr", "h:test", *["p:" + w for w in u.split("/")[3:]]])
+    n = len(seen["block"].keys() | seen["allow"].keys()) + 1
+    odds = lambda t: log((seen["block"][t] + 1) / (seen["block"].total() + n)) - log((seen["allow"][t] + 1) / (seen["allow"].total() + n))
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(rows) == 3
+    for r in rows:
+        want = log((pages["block"] + 1) / (pages["allow"] + 1)) + odds("h:else") + odds("h:test") + odds("p:" + r.path[1:])
+        assert r.block_score == pytest.approx(want) and r.verdict == ("block" if want > 0 else "allow")
