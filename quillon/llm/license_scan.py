@@ -4,7 +4,8 @@ Texts and templates become words (letters and digits, A-Z lower-cased) and shing
 into windows of a power of two of shingles that overlap by half, and each text into windows of those sizes at a quarter's
 stride, so that some text window is off a template window by an eighth at most. One-row bands of 16 coordinates find a
 pair of windows of similarity 0.55 (a template with a fifth of its shingles lost) with a chance of 0.999997, and cost no
-false candidates, for an equal coordinate means a common shingle. What is found is confirmed on the text itself.
+false candidates, for an equal coordinate means a common shingle. What is found is confirmed on the text itself,
+and of notices that claim the same words the fullest is reported.
 """
 
 from __future__ import annotations
@@ -33,13 +34,33 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "has waived all copyright and related or neighboring rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause OR BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
+    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
+    ("MIT", "licensed under the MIT License"),
+    ("MIT", "distributed under the MIT License"),
+    ("ISC", "licensed under the ISC License"),
+    ("BSD-2-Clause", "licensed under the BSD 2-Clause License"),
+    ("BSD-3-Clause", "licensed under the BSD 3-Clause License"),
+    ("MPL-2.0", "licensed under the Mozilla Public License, version 2.0"),
+    ("CC-BY-4.0", "licensed under CC BY 4.0"),
+    ("CC-BY-SA-4.0", "licensed under CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0", "licensed under CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "licensed under CC BY-NC-ND 4.0"),
 ]
 
 
@@ -150,16 +171,15 @@ def best_run(wanted: dict[int, int], length: int, g: np.ndarray, lo: int, hi: in
     return out
 
 
-def find(index: Index, texts: list[str | None]) -> list[list[tuple[str, int, int, int]]]:
-    """For each text (license, first word, end word, percent of the template's shingles) of confirmed notices, in order."""
-    g, off = shingles(texts)
-    found: list[list[tuple[str, int, int, int]]] = [[] for _ in texts]
+def _confirmed(index: Index, g: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+    """For each text (template, first, last word shingle, distinct shingles) of every template's confirmed runs."""
+    found: list[list[tuple[int, int, int, int]]] = [[] for _ in range(len(off) - 1)]
     regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
     rows = candidates(index, g)
     owners = np.searchsorted(off, rows[:, 1], "right") - 1
     for (t, at, size), doc in zip(rows.tolist(), owners.tolist(), strict=True):
         # A window may begin in the text before; both are looked at, each within its own words.
-        for d in {doc, min(len(texts) - 1, int(np.searchsorted(off, at + size - 1, "right")) - 1)}:
+        for d in {doc, min(len(off) - 2, int(np.searchsorted(off, at + size - 1, "right")) - 1)}:
             reach = 2 * index.lengths[t]
             regions.setdefault((d, t), []).append((max(int(off[d]), at - reach), min(int(off[d + 1]), at + size + reach)))
     for (d, t), parts in regions.items():
@@ -175,8 +195,39 @@ def find(index: Index, texts: list[str | None]) -> list[list[tuple[str, int, int
         joined.append((lo, hi))
         for a, b in joined:
             for first, last, n in best_run(index.sets[t], index.lengths[t], g, a, b):
-                found[d].append((index.names[t], first - int(off[d]), last + WIDTH - int(off[d]), 100 * n // len(index.sets[t])))
-    return [sorted(set(f), key=lambda m: (m[1], m[2], m[0])) for f in found]
+                found[d].append((t, first, last, n))
+    return found
+
+
+def _notices(index: Index, runs: list[tuple[int, int, int, int]], start: int) -> list[tuple[str, int, int, int]]:
+    found = {(index.names[t], first - start, last + WIDTH - start, 100 * n // len(index.sets[t])) for t, first, last, n in runs}
+    return sorted(found, key=lambda m: (m[1], m[2], m[0]))
+
+
+def find(index: Index, texts: list[str | None]) -> list[list[tuple[str, int, int, int]]]:
+    """For each text (license, first word, end word, percent of the template's shingles) of confirmed notices, rivals too, in order."""
+    g, off = shingles(texts)
+    return [_notices(index, runs, int(off[d])) for d, runs in enumerate(_confirmed(index, g, off))]
+
+
+def tell(index: Index, texts: list[str | None]) -> list[list[tuple[str, int, int, int]]]:
+    """find() with one notice of each set of rivals, which are runs that claim a shingle of the text in common.
+
+    The run of most shingles wins, so that a whole text beats its preamble; of equals that of greatest containment, then
+    the first.
+    """
+    g, off = shingles(texts)
+    out = []
+    for d, runs in enumerate(_confirmed(index, g, off)):
+        won: list[tuple[int, int, int, int]] = []
+        claimed: set[int] = set()
+        for t, first, last, n in sorted(set(runs), key=lambda r: (-r[3], len(index.sets[r[0]]), r[1], r[2], r[0])):
+            mine = {i for i, v in enumerate(g[first : last + 1].tolist(), first) if v in index.sets[t]}
+            if not mine & claimed:
+                claimed |= mine
+                won.append((t, first, last, n))
+        out.append(_notices(index, won, int(off[d])))
+    return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,7 +243,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
             texts = part.column(1).to_pylist()
             n, names, notices = [], [], []
             for a, b in batches(texts):
-                for found in find(index, texts[a:b]):
+                for found in tell(index, texts[a:b]):
                     n.append(len(found))
                     names.append(",".join(sorted({f[0] for f in found})))
                     notices.append(",".join(f"{x}:{i}:{j}:{p}" for x, i, j, p in found))

@@ -321,3 +321,15 @@ def test_bayes_counts_words_beyond_any_number(spark):
     for r in rows:
         want = log((pages["block"] + 1) / (pages["allow"] + 1)) + odds("h:else") + odds("h:test") + odds("p:" + r.path[1:])
         assert r.block_score == pytest.approx(want) and r.verdict == ("block" if want > 0 else "allow")
+
+
+def test_licenses_that_share_words_are_told_apart(spark):
+    gpl = "This program is free software{a} you can redistribute it and/or modify it under the terms of the GNU {k}General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version."
+    bsd = {n: t for n, t in license_scan.TEMPLATES if n in ("BSD-2-Clause", "BSD-3-Clause") and len(t) > 500}
+    cases = [
+        ("GPL-2.0", gpl.format(a=";", k="", b=";", v="2")), ("GPL-3.0", gpl.format(a=":", k="", b=",", v="3")), ("AGPL-3.0", gpl.format(a=":", k="Affero ", b=",", v="3")), ("LGPL-3.0", gpl.format(a=":", k="Lesser ", b=",", v="3").replace("program", "library")),
+        *bsd.items(), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("MIT", "Licensed under the MIT License."), ("CC-BY-4.0,MIT", "Licensed under the MIT License. Its texts are licensed under CC BY 4.0."),
+    ]
+    assert len(bsd) == 2
+    docs = spark.createDataFrame([(i, "some words before " + t + " and some after") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert [r.licenses for r in sorted(license_scan.scan(docs).collect())] == [n for n, _ in cases]
