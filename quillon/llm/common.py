@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -10,17 +11,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on a local master is one of our own made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="quillon-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
@@ -35,33 +36,52 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str, keep: bool = True) -> DataFrame:
+def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files are removed when the driver process ends.
+    The files are removed by forget(), or when the driver process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if keep:
-        atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    atexit.register(_remove, spark, path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files behind a frame that materialise() returned and that nothing reads any more."""
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        _remove(df.sparkSession, f)
+def forget(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames that materialise() returned and that nothing reads any more."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "_stored_at", None)):
+            _remove(df.sparkSession, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def places(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ... by position, so that no name can clash with another or with a helper's."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The name under which places() has a column: the first of exactly that name, else the first that differs in case only."""
+    names = df.columns
+    at = names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+    return f"_{at}"
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, found by exact name first so that extra or differently cased columns do no harm."""
-    return df.select(*[df[n].alias(n) for n in names])
+    """The named columns, picked by position: columns whose names are alike or differ in case only do no harm."""
+    return places(df).select(*[F.col(place(df, n)).alias(n) for n in names])
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """The type of the column that only() picks, as DDL."""
+    return df.schema[int(place(df, name)[1:])].dataType.simpleString()
 
 
 def small(df: DataFrame, rows: int = 20_000) -> DataFrame:
@@ -84,18 +104,9 @@ _SPACE[list(SPACE_BYTES)] = True
 #: A-Z to a-z on UTF-8 bytes; other bytes stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SEGMENT = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = _powers(_BASE, _SEGMENT + 2)
-_INV = _powers(pow(_BASE, -1, 2**64), _SEGMENT + 2)
+#: Words above so many bytes are hashed by a digest, others eight bytes at a time.
+_LONG = 1024
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -143,16 +154,23 @@ def hash_words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hash_segment(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's length, then its bytes eight by eight, go through a mixer; a step is a bijection of the eight bytes."""
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
-    if len(b) + 1 > len(_POW):
-        power, inverse = _powers(_BASE, len(b) + 2), _powers(pow(_BASE, -1, 2**64), len(b) + 2)
-    else:
-        power, inverse = _POW, _INV
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_VALUE[b] * power[: len(b)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(b) + 1, "<u8", padded.data, strides=(1,))
+    size = ends - starts
+    h = mix64(size.astype(np.uint64) + np.uint64(0x5851F42D4C957F2D))
+    live, at = np.flatnonzero(size <= _LONG), 0
+    while len(live):
+        left = size[live] - at
+        part = eights[starts[live] + at] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix64((h[live] ^ part) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1342543DE82EF95))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG):
+        h[i] = int.from_bytes(hashlib.blake2b(b[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h, starts, ends
 
 
 def hash_texts(texts: list[str | None], table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, hash_texts, mix32, mix64, only
+from .common import batches, hash_texts, kind_of, mix32, mix64, only
 
 WIDTH, BANDS, PERCENT = 5, 16, 80
 _NONE = np.uint32(0xFFFFFFFF)
@@ -249,5 +249,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, id_col
                     notices.append(",".join(f"{x}:{i}:{j}:{p}" for x, i, j, p in found))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(notices, pa.string())], ["id", "n_notices", "licenses", "notices"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
     return only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_notices long, licenses string, notices string").select(F.col("id").alias(id_col), "n_notices", "licenses", "notices")

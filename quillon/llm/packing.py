@@ -13,6 +13,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, hash_words, materialise, only
+from .common import batches, kind_of, materialise, only
 
 #: Chunks that a Python worker keeps; beyond it the tables start anew (a matter of speed only).
 TABLE_ENTRIES = 1_000_000
 _BLANK = re.compile(r"\s|\u180e")
-_KIND = np.array([0, 0x5851F42D4C957F2D, 0xD1342543DE82EF95], np.uint64)
 _workers: dict = {}
 
 
@@ -53,14 +53,26 @@ def _fast_twin(tokenizer_file: str):
     return tiktoken.Encoding("twin", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+class _Table(dict):
+    """Entry numbers of chunks; a chunk that is asked for first is learned then."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, chunk: str) -> int:
+        entry = self[chunk] = self.learn(chunk)
+        return entry
+
+
 class ChunkEncoder:
     """Ids of whole texts through tables of distinct chunks.
 
     Byte-level BPE with the usual pre-tokenizer always starts a pre-token at a blank between two non-blanks and parts a
     lone line feed from its neighbours. So a text whose white space is such single blanks and line feeds falls into
-    chunks (a word with the one character before it) that are encoded once each: chunks are found and told apart by
-    64-bit hashes, distinct ones of a batch are looked up, and the ids are gathered. Other texts, and texts with the
-    tokenizer's special strings, go to the library whole.
+    chunks that are encoded once each: its first word, words after a blank, and words after a line feed with that. Chunks
+    are told apart by their characters. A text with any other white space (at its ends too), or with one of the
+    tokenizer's special strings, goes to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -69,82 +81,54 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_chunk = not any(_BLANK.search(s) for s in self.special)
         self.fast = _fast_twin(tokenizer_file)
         self._clear()
 
     def _clear(self) -> None:
-        self.chunks: dict[int, int] = {}
-        self.starts, self.lengths, self.pool, self.filled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.first, self.later = _Table(self._learn), _Table(lambda w: self._learn(w if w[:1] == "\n" else " " + w if w else w))
+        self.starts, self.lengths, self.pool = array("q"), array("q"), array("I")
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        """Add chunks; one with white space or a special string inside gets length -1."""
-        ids: list[int] = []
-        starts, lengths = [], []
-        for w in words:
-            starts.append(len(ids))
-            if _BLANK.search(w, 1) or any(s in w for s in self.special):
-                lengths.append(-1)
-                continue
-            ids += self.fast.encode_ordinary(w) if self.fast and max(w) < "\u0250" else self.tokenizer.encode(w, add_special_tokens=False).ids
-            lengths.append(len(ids) - starts[-1])
-        n, at = len(self.starts), self.filled
-        if at + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool[:at], np.zeros(at + len(ids) + 4096, np.uint32)])
-        self.pool[at : at + len(ids)] = ids
-        self.filled = at + len(ids)
-        self.starts = np.concatenate([self.starts, np.array(starts, np.int64) + at])
-        self.lengths = np.concatenate([self.lengths, np.array(lengths, np.int64)])
-        self.chunks.update(zip(keys, range(n, n + len(keys)), strict=True))
+    def _learn(self, chunk: str) -> int:
+        """Adds a chunk with its lead; length -1 marks one that has no word, other white space or a special string inside."""
+        word = chunk.lstrip(" \n")
+        entry, at = len(self.starts), len(self.pool)
+        if not word or _BLANK.search(word) or any(s in word for s in self.special):
+            n = -1
+        else:
+            self.pool.extend(self.fast.encode_ordinary(chunk) if self.fast and max(word) < "\u0250" else self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+            n = len(self.pool) - at
+        self.starts.append(at)
+        self.lengths.append(n)
+        return entry
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.chunks) > TABLE_ENTRIES:
+        if len(self.starts) > TABLE_ENTRIES:
             self._clear()
-        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        buf = b"\n".join(raw) + b"\n" if raw else b""
-        hashes, starts, ends = hash_words(buf)
-        edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw]))).astype(np.int64)
-        first = np.searchsorted(starts, edges)
-        data = np.frombuffer(buf, np.uint8)
-        n_words = np.diff(first)
-        doc = np.repeat(np.arange(len(raw)), n_words)
-        lone = np.zeros(len(starts), bool)
-        lone[first[:-1][n_words > 0]] = True
-        before = data[np.maximum(starts - 1, 0)]
-        kind = np.where(lone, 2, np.where(before == 10, 1, 0))
-        # In place: words follow one blank or line feed, the first starts the text and the last ends it.
-        good = n_words > 0
-        gap_ok = np.ones(len(starts), bool)
-        gap_ok[1:] = (starts[1:] - ends[:-1] == 1) & ((before[1:] == 32) | (before[1:] == 10)) | lone[1:]
-        good &= np.bincount(doc[~gap_ok], minlength=len(raw)) == 0
-        inside = good.nonzero()[0]
-        good[inside] &= (starts[first[inside]] == edges[inside]) & (ends[first[inside + 1] - 1] == edges[inside + 1] - 1)
-        keys, where, back = np.unique(hashes ^ _KIND[kind], return_index=True, return_inverse=True)
-        found = np.array([self.chunks.get(k, -1) for k in keys.tolist()], np.int64)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            at = where[missing]
-            lead = np.where(lone[at], 0, 1)
-            words = [buf[a:b].decode("utf-8", "surrogatepass") for a, b in zip((starts[at] - lead).tolist(), ends[at].tolist(), strict=True)]
-            found[missing] = np.arange(len(self.starts), len(self.starts) + len(missing))
-            self._learn(keys[missing].tolist(), words)
-        entry = found[back.ravel()]
-        size = self.lengths[entry]
-        good &= np.bincount(doc[size < 0], minlength=len(raw)) == 0
-        size = np.maximum(size, 0)
-        upto = np.concatenate(([0], np.cumsum(size)))
-        ids = self.pool[np.repeat(self.starts[entry] - upto[:-1], size) + np.arange(upto[-1])]
-        cut = upto[first]
-        return [ids[cut[i] : cut[i + 1]] if good[i] else self.whole(t) for i, t in enumerate(texts)]
-
-
-PIECES = "id {}, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long"
-
-
-def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str, text_col: str, end_id: int = 0) -> DataFrame:
-    """Pieces of each document's ids (end_id last): full ones of capacity ids, then the rest."""
+        if not self.by_chunk:
+            return [self.whole(t) for t in texts]
+        entries, edges = array("q"), [0]
+        later = self.later.__getitem__
+        for t in texts:
+            words = t.replace("\n", " \n").split(" ")
+            entries.append(self.first[words[0]])
+            entries.extend(map(later, words[1:]))
+            edges.append(len(entries))
+        entry = np.frombuffer(entries, np.int64)
+        size = np.frombuffer(self.lengths, np.int64)[entry]
+        upto = np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
+        # One array of ids for the batch: each entry's run of the pool, in the order of the texts.
+        starts = np.frombuffer(self.starts, np.int64)[entry]
+        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(starts - upto[:-1], np.maximum(size, 0)) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, np.uint32)
+        good = np.minimum.reduceat(size, edges[:-1]) >= 0 if texts else []
+        return [ids[upto[a] : upto[b]] if ok else self.whole(t) for t, a, b, ok in zip(texts, edges[:-1], edges[1:], good, strict=True)]
+
+
+def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str, text_col: str, end_id: int = 0, ids: bool = False) -> DataFrame:
+    """Pieces of each document's ids (end_id last): full ones of capacity ids, then the rest. With ids, the ids too."""
 
     def run(parts):
         encoder = _workers.get(tokenizer_file) or _workers.setdefault(tokenizer_file, ChunkEncoder(tokenizer_file))
@@ -152,23 +136,32 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str,
         seen = np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4")
         for part in parts:
-            ids = part.column(0).to_pylist()
+            keys = part.column(0)
             texts = [t or "" for t in part.column(1).to_pylist()]
-            rows: list[list] = [[] for _ in range(7)]
             for a, b in batches(texts, 4 << 20):
-                for key, code in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                rows: list[list] = [[] for _ in range(7)]
+                codes: list[np.ndarray] = []
+                for i, code in enumerate(encoder.encode(texts[a:b]), a):
                     code = np.concatenate([code.astype("<u4", copy=False), end])
                     n = len(code)
                     for start in range(0, n, capacity):
                         length = min(capacity, n - start)
-                        values = (key, start, length, zlib.crc32(code[start : start + length].tobytes()), n, part_id, int(seen[length]))
+                        values = (i, start, length, zlib.crc32(code[start : start + length].tobytes()), n, part_id, int(seen[length]))
                         seen[length] += 1
                         for column, v in zip(rows, values, strict=True):
                             column.append(v)
-            kinds = [part.schema.field(0).type, *[pa.int64()] * 4, pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "ordinal"])
+                    if ids:
+                        codes.append(code)
+                columns = [keys.take(pa.array(rows[0], pa.int64())), *[pa.array(c, pa.int64()) for c in rows[1:5]], pa.array(rows[5], pa.int32()), pa.array(rows[6], pa.int64())]
+                names = ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "ordinal"]
+                if ids:
+                    flat = np.concatenate([*codes, np.zeros(0, "<u4")]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rows[2]))), pa.int32()), pa.array(flat)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return only(docs, id_col, text_col).mapInArrow(run, PIECES.format(docs.schema[id_col].dataType.simpleString()))
+    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long" + ", ids array<int>" * ids
+    return only(docs, id_col, text_col).mapInArrow(run, fields)
 
 
 def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -292,28 +285,30 @@ def layout(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
     return {k: a[:, i] for i, k in enumerate(("key", "lo", "n", "base", "offset", "length"))}
 
 
-def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ids the token ids themselves.
 
     A null or empty text is the end id alone. Repeated ids are packed as separate documents, each row by itself. An empty
     table gives an empty result. Other columns are not looked at. Sequences hold at most capacity ids; offsets in a
     sequence are gapless from 0; sequence ids are 0 to n - 1.
     """
-    pieces = materialise(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col), "pieces")
+    pieces = materialise(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col, ids=ids), "pieces")
     counts = pieces.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     # One row for each task and length: the rank at which the task's pieces of that length begin.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     table = layout(plan(histogram, capacity))
-    ranked = pieces.join(first, ["part", "length"]).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("ordinal")).alias("rank"))
+    shown = ["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids]
+    ranked = pieces.join(first, ["part", "length"]).select(*shown, (F.col("first") + F.col("ordinal")).alias("rank"))
 
     def place(parts):
         for part in parts:
-            length, rank = part.column(2).to_numpy(zero_copy_only=False), part.column(5).to_numpy(zero_copy_only=False)
+            length, rank = part.column(2).to_numpy(zero_copy_only=False), part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)
             at = np.searchsorted(table["key"], (length << 40) | rank, "right") - 1
             q, n = rank - table["lo"][at], table["n"][at]
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(table["base"][at] + q // n), pa.array(table["offset"][at] + (q % n) * length)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            found = [pa.array(table["base"][at] + q // n), pa.array(table["offset"][at] + (q % n) * length)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], *found, *part.columns[5:-1]], [*shown[:5], "sequence_id", "offset", *shown[5:]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
+    return ranked.mapInArrow(place, fields).withColumnRenamed("id", id_col)

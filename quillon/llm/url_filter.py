@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, only
+from .common import kind_of, materialise, only
 
 #: Letters of the longest word; the labels of a legal host have at most 63.
 LONGEST = 64
@@ -193,7 +193,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     table gives none; other columns are not looked at.
     """
     book = RuleBook(rules)
-    kind = pages.schema[id_col].dataType.simpleString()
+    kind = kind_of(pages, id_col)
 
     def run(batches):
         for b in batches:
