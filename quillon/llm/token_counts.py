@@ -2,8 +2,10 @@
 
 A piece model whose vocabulary has the word mark only at the front of pieces never merges across the edge between a
 non-space and a space, and none with a line feed inside never merges across one. So a text falls into pre-tokens (a run
-of spaces, or a line feed, and what follows up to the next of either) whose piece counts add up exactly. Each task counts the pieces of every distinct pre-token once, keeps those counts in a bounded table,
-joins them to each document's pre-token frequencies and sums; ids are never built and nothing is shuffled.
+of spaces, or a line feed, and what follows up to the next of either) whose piece counts add up exactly. Each task counts
+the pieces of every distinct pre-token once, keeps those counts in a bounded table, joins them to each document's
+pre-token frequencies and sums; ids of texts are never built and nothing is shuffled. A text that holds the word mark
+itself, which the model takes for a space, is counted whole by the library.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import kind_of, only
 
 #: Pre-token counts that a Python worker keeps; beyond it the table starts anew (a matter of speed only).
 TABLE_ENTRIES = 700_000
@@ -45,7 +47,12 @@ class PieceCounter:
         if not self.splits:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         frequencies = []
-        for t in texts:
+        marked = [i for i, t in enumerate(texts) if "▁" in t]
+        whole = dict(zip(marked, map(len, self.model.encode([texts[i] for i in marked], num_threads=1)), strict=True)) if marked else {}
+        for i, t in enumerate(texts):
+            if i in whole:
+                frequencies.append(Counter())
+                continue
             # The model puts one space before the text; each pre-token is keyed without its first space for that.
             if not t:
                 words = []
@@ -59,7 +66,7 @@ class PieceCounter:
             missing = list({w for f in frequencies for w in f})
         self._count(missing)
         table = self.table
-        return [sum(n * table[w] for w, n in f.items()) for f in frequencies]
+        return [whole.get(i, 0) + sum(n * table[w] for w, n in f.items()) for i, f in enumerate(frequencies)]
 
 
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,5 +89,5 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                 ["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = kind_of(docs, id_col)
     return only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", "over_limit")
