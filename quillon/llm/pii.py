@@ -2,14 +2,16 @@
 
 The patterns find e-mail addresses, IP numbers, payment cards and phone numbers in their usual forms. The network, trained
 in numpy on generated labelled spans, finds other forms (written-out addresses, defanged numbers, cards and phones with
-unusual separators). A text is cut into overlapping windows; each is decoded by Viterbi, every character takes its tag
-from the window in which it lies farthest from an edge, and runs of one kind over the whole text become spans. A
-window whose best path is provably outside all along isn't decoded. Spans of the network are kept if they hold what their
-kind needs and touch no span of the patterns.
+unusual separators) and secrets (passwords, tokens, access keys). A text is cut into overlapping windows; each is read by
+the network and decoded by Viterbi, every character takes its tag from the window in which it lies farthest from an edge,
+and runs of one kind over the whole text, widened to whole words, become spans. A window whose best path is provably
+outside all along isn't decoded. Spans of the network are kept if they hold what their kind needs and touch no span of the
+patterns.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import only
 
 KINDS = ("email", "ip", "card", "phone")
-TAGS = len(KINDS) + 1  # 0: outside
+SECRET = len(KINDS) + 1  # the network's own kind
+TAGS = SECRET + 1  # 0: outside
 
 # --- fixed patterns ---------------------------------------------------------
 
@@ -100,37 +103,66 @@ def encode(text: str) -> np.ndarray:
     return np.where(points < 256, _CODE[np.minimum(points, 255)], CODES - 1).astype(np.uint8)
 
 
+_LETTERS = np.array(list("aeioustrnlhdcmpgbfwvykéüñzxj"))
+_SHARES = np.array([9, 10, 8, 8, 4, 7, 8, 7, 7, 4, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 2, 1, 1, 1, 1, 0.5, 0.5, 0.5])
+_UPTO = np.cumsum(_SHARES / _SHARES.sum())
+
+
 def _word(rng) -> str:
-    return "".join(rng.choice(list("aeioustrnlhdcmpgbfwvykéüñzxj"), p=_LETTERS) for _ in range(rng.integers(1, 10)))
+    return "".join(_LETTERS[np.minimum(np.searchsorted(_UPTO, rng.random(rng.integers(1, 10))), len(_LETTERS) - 1)])
 
 
-_LETTERS = np.array([9, 10, 8, 8, 4, 7, 8, 7, 7, 4, 4, 4, 3, 3, 2, 2, 2, 2, 2, 1, 2, 1, 1, 1, 1, 0.5, 0.5, 0.5])
-_LETTERS = _LETTERS / _LETTERS.sum()
+def _plain(rng) -> str:
+    """A word of a to z."""
+    return _word(rng).translate(str.maketrans("éüñ", "eun"))
 
 
 def _number(rng, n: int) -> str:
-    return "".join(str(d) for d in rng.integers(0, 10, n))
+    return "".join(map(str, rng.integers(0, 10, n).tolist()))
 
 
 def _card_number(rng) -> str:
-    d = _number(rng, 15)
+    d = str(rng.integers(3, 7)) + _number(rng, 14)
     return next(d + str(i) for i in range(10) if luhn(d + str(i)))
 
 
-def _entity(rng) -> tuple[int, str]:
+_HEX, _ALNUM = list("0123456789abcdef"), list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: Names before secrets, and how well-known kinds of keys begin.
+_NAMES = ["password", "passwd", "pwd", "token", "access_token", "secret", "api_key", "apikey", "API_KEY", "SECRET_KEY", "auth", "client_secret", "Passwort", "clave"]
+_LEADS = [("AKIA", 16, True), ("ASIA", 16, True), ("ghp_", 36, False), ("sk-", 40, False), ("xoxb-", 24, False), ("glpat-", 20, False)]
+
+
+def _drawn(rng, letters: list[str], n: int) -> str:
+    return "".join(rng.choice(letters, n))
+
+
+def _secret(rng) -> list[tuple[int, str]]:
+    if rng.random() < 0.4:
+        lead, n, upper = _LEADS[rng.integers(len(_LEADS))]
+        made = _drawn(rng, _ALNUM, n)
+        return [(SECRET, lead + (made.upper() if upper else made))]
+    value = _drawn(rng, _HEX, rng.choice([16, 18, 20, 32, 40, 64])) if rng.random() < 0.6 else _drawn(rng, _ALNUM, rng.integers(12, 40))
+    quote = str(rng.choice(["", '"', "'"], p=[0.5, 0.4, 0.1]))
+    return [(0, str(rng.choice(_NAMES)) + str(rng.choice(["=", " = ", ": ", ":", '": '])) + quote), (SECRET, value), (0, quote)]
+
+
+def _entity(rng) -> list[tuple[int, str]]:
+    """Pieces of text with their kinds."""
     kind = int(rng.integers(1, TAGS))
+    if kind == SECRET:
+        return _secret(rng)
     if kind == 1:
-        name, host, top = _word(rng) + rng.choice(["", "." + _word(rng), _number(rng, 2), "_" + _word(rng)]), _word(rng), rng.choice(["com", "org", "net", "de", "io"])
+        name, host, top = _plain(rng) + rng.choice(["", "." + _plain(rng), _number(rng, 2), "_" + _plain(rng)]), _plain(rng), rng.choice(["com", "org", "net", "de", "io"])
         at = rng.choice(["@", " at ", " [at] ", "(at)", " (at) "], p=[0.3, 0.25, 0.2, 0.1, 0.15])
         dot = rng.choice([" dot ", " [dot] ", "(dot)"]) if at != "@" and rng.random() < 0.8 else "."
-        return kind, name + at + host + dot + top
+        return [(kind, name + at + host + dot + top)]
     if kind == 2:
-        return kind, rng.choice([".", "[.]", " . ", "(.)"], p=[0.5, 0.3, 0.1, 0.1]).join(str(n) for n in rng.integers(0, 256, 4))
+        return [(kind, rng.choice([".", "[.]", " . ", "(.)"], p=[0.5, 0.3, 0.1, 0.1]).join(str(n) for n in rng.integers(0, 256, 4)))]
     if kind == 3:
         d, sep = _card_number(rng), rng.choice(["", " ", "-", ".", "/"], p=[0.3, 0.2, 0.2, 0.2, 0.1])
-        return kind, sep.join(d[i : i + 4] for i in range(0, 16, 4))
+        return [(kind, sep.join(d[i : i + 4] for i in range(0, 16, 4)))]
     a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
-    return kind, str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+49 {a} {b}{c}", f"0049 {a} {b} {c}"]))
+    return [(kind, str(rng.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+49 {a} {b}{c}", f"0049 {a} {b} {c}"])))]
 
 
 def _filler(rng) -> str:
@@ -139,12 +171,13 @@ def _filler(rng) -> str:
     w = _word(rng)
     if r < 0.8:
         return rng.choice([w, w.capitalize(), w + ",", w + ".\n" + _word(rng).capitalize(), w.upper() + "!!", w + "***", w + " |", w + "$$$", w + "%%%"], p=[0.56, 0.1, 0.1, 0.12, 0.04, 0.02, 0.02, 0.02, 0.02])
-    hexa = "".join(rng.choice(list("0123456789abcdef"), 40))
+    n = lambda k: _number(rng, k)
     return str(
         rng.choice(
-            [f'token = "{hexa}"', _number(rng, rng.integers(1, 9)), f"{_number(rng, 1)}.{_number(rng, 2)}", f"Version {_number(rng, 1)}.{_number(rng, 1)}", f"20{_number(rng, 2)}-0{_number(rng, 1)}-1{_number(rng, 1)}", f"1{_number(rng, 1)}:{_number(rng, 2)}", f"https://{_word(rng)}.example.com/{_number(rng, 3)}", f"{_word(rng)} at the {_word(rng)}", f"{_number(rng, 2)},{_number(rng, 3)}", f"{_number(rng, 1)}.{_number(rng, 1)}.{_number(rng, 2)}", f"{_number(rng, 20)}"]
+            [f"commit {_drawn(rng, _HEX, 40)}", n(rng.integers(1, 9)), f"{n(1)}.{n(2)}", f"Version {n(1)}.{n(1)}", f"20{n(2)}-0{n(1)}-1{n(1)}", f"1{n(1)}:{n(2)}", f"https://{_word(rng)}.example.com/{n(3)}",
+             f"{_word(rng)} at the {_word(rng)}", f"{n(2)},{n(3)}", f"{n(1)}.{n(1)}.{n(2)}", n(20), f"{rng.choice(_NAMES)} {_word(rng)}", f"{_word(rng)} = {_word(rng)}", (w * 3).upper(), f"ISBN {n(3)}-{n(1)}-{n(2)}"]
         )
-    )
+    )
 
 
 def labelled(n: int, span: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -154,13 +187,10 @@ def labelled(n: int, span: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]
     for i in range(n):
         text, tag = "", []
         while len(text) < span + 20:
-            if rng.random() < 0.12:
-                kind, piece = _entity(rng)
-            else:
-                kind, piece = 0, str(_filler(rng))
-            end = str(rng.choice([" ", ". ", ", ", ".\n"], p=[0.85, 0.05, 0.05, 0.05]))
-            text += piece + end
-            tag += [kind] * len(piece) + [0] * len(end)
+            pieces = _entity(rng) if rng.random() < 0.12 else [(0, str(_filler(rng)))]
+            for kind, piece in [*pieces, (0, str(rng.choice([" ", ". ", ", ", ".\n"], p=[0.85, 0.05, 0.05, 0.05])))]:
+                text += piece
+                tag += [kind] * len(piece)
         cut = int(rng.integers(0, 20))
         codes[i], tags[i] = encode(text[cut : cut + span]), tag[cut : cut + span]
     return codes, tags
@@ -168,7 +198,7 @@ def labelled(n: int, span: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]
 
 # --- network ----------------------------------------------------------------
 
-HIDDEN, SPAN, STEPS, BATCH = 6, 72, 260, 64
+HIDDEN, SPAN, STEPS, BATCH = 8, 80, 480, 64
 #: Characters of a decoded window, and how many of them two neighbours share.
 WINDOW, OVERLAP = 320, 48
 
@@ -253,8 +283,8 @@ def trained(seed: int = 5) -> Tagger:
     """The tagger, fitted once for each driver process by gradient descent with Adam on generated labelled spans."""
     rng = np.random.default_rng(seed)
     h = HIDDEN
-    params = [rng.normal(0, 0.3, (4 * h, CODES)) for _ in range(2)] + [rng.normal(0, 0.4, (4 * h, h)) for _ in range(2)] + [rng.normal(0, 0.3, (TAGS, h)) for _ in range(2)] + [np.array([1.0, 0, 0, 0, 0]), np.eye(TAGS)]
-    codes, tags = labelled(2400, SPAN)
+    params = [rng.normal(0, 0.3, (4 * h, CODES)) for _ in range(2)] + [rng.normal(0, 0.4, (4 * h, h)) for _ in range(2)] + [rng.normal(0, 0.3, (TAGS, h)) for _ in range(2)] + [np.eye(TAGS)[0], np.eye(TAGS)]
+    codes, tags = labelled(6000, SPAN)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     for t in range(1, STEPS + 1):
         pick = rng.choice(len(codes), BATCH, replace=False)
@@ -322,13 +352,18 @@ def viterbi(emit: np.ndarray, moves: np.ndarray) -> np.ndarray:
 def decode(model: Tagger, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which windows may hold a tag, and their best tags. The rest are outside throughout, as shown by a bound.
 
-    Leaving the outside path gains at most the lead of another tag at each position and the best way in and out.
+    A path that leaves the outside gains, over one that doesn't, the sum of its stays there. No stay gains more than the
+    greatest sum of leads of other tags over outside, with the best ways in, on and out.
     """
     emit = emissions(model, x)
-    a = model.moves
-    into = max(0.0, float(a[:, 1:].max() - a[0, 0])) + max(0.0, float(a[1:, 0].max() - a[0, 0]))
-    lead = (emit[:, 1:].max(1) - emit[:, 0] + np.float32(into)) * (x.T != 0)
-    maybe = np.flatnonzero((lead > -1e-3).any(0) & (np.where(x.T != 0, lead, -1).max(0) > -1e-3))
+    a, real = model.moves, x.T != 0
+    into, on, out = float(a[0, 1:].max() - a[0, 0]), float(a[1:, 1:].max() - a[0, 0]), float(a[1:, 0].max() - a[0, 0])
+    lead = np.where(real, emit[:, 1:].max(1) - emit[:, 0], np.float32(-1e4))
+    stay = most = lead[0]
+    for t in range(1, len(lead)):
+        stay = lead[t] + np.maximum(stay + np.float32(on), np.float32(into))
+        most = np.maximum(most, stay)
+    maybe = np.flatnonzero(most + max(out, 0.0) > -1e-3)
     if not len(maybe):
         return maybe, np.zeros((0, x.shape[1]), np.uint8)
     part = emit[:, :, maybe].copy()
@@ -379,12 +414,14 @@ def holds(kind: int, text: str) -> bool:
     """Whether a span of the network has what its kind needs."""
     if kind == 1:
         return bool(_EMAIL_LIKE.fullmatch(text)) and ("@" in text or "dot" in text or "[at]" in text or "(at)" in text)
+    if kind == SECRET:
+        return len(text) >= 12 and bool(re.fullmatch(r"[A-Za-z0-9_+/=.~-]+", text)) and bool(re.search("[A-Za-z]", text)) and sum(map(str.isdigit, text)) >= 2
     d = _digits(text)
     if kind == 2:
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(int(p) <= 255 for p in parts if len(p) < 4) and max(map(len, parts)) <= 3 and not re.search("[A-Za-z]", text)
     if kind == 3:
-        return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d) and not re.search("[^0-9 ./-]", text)
+        return 13 <= len(d) <= 19 and d[0] in "23456" and luhn(d) and not re.search("[^0-9 ./-]", text)
     return 9 <= len(d) <= 15 and len(re.findall("[0-9]+", text)) >= 3 and bool(re.fullmatch(r"\+?[0-9 ().-]+", text))
 
 
@@ -394,37 +431,62 @@ def _runs(tags: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(tags[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b and tags[a]]
 
 
-def find(model: Tagger, texts: list[str]) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
-    """For each text the spans of the patterns, and those with the network's added, by kind."""
+def _inside(c: str, kind: int) -> bool:
+    return c.isalnum() or kind == SECRET and c in "_-"
+
+
+def _widened(text: str, kind: int, a: int, b: int, least: int) -> tuple[int, int]:
+    """A run without what surrounds its words, then with the whole of its first and last word, from least on."""
+    while a < b and not (text[a].isalnum() or text[a] in "+("):
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    while least < a < b and _inside(text[a], kind) and _inside(text[a - 1], kind):
+        a -= 1
+    while a < b < len(text) and _inside(text[b - 1], kind) and _inside(text[b], kind):
+        b += 1
+    return a, b
+
+
+def find(model: Tagger, texts: list[str]) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]], list[tuple[int, int]]]]:
+    """For each text the spans of the patterns, those with the network's added, by kind, and the network's secrets."""
     out = []
     for text, tags in zip(texts, tag_texts(model, texts), strict=True):
         base = base_spans(text)
-        every = [list(s) for s in base]
+        every = [list(s) for s in [*base, ()]]
         if tags is not None:
             taken = sorted(s for spans in base for s in spans)
+            last = 0
             for kind, a, b in _runs(tags):
-                while a < b and not (text[a].isalnum() or text[a] in "+("):
-                    a += 1
-                while b > a and not text[b - 1].isalnum():
-                    b -= 1
-                if a < b and not any(s < b and a < e for s, e in taken) and holds(kind, text[a:b]):
+                if b <= last:
+                    continue
+                a, b = _widened(text, kind, max(a, last), b, last)
+                last = max(last, b)
+                if a < b and not _touches(taken, a, b) and holds(kind, text[a:b]):
                     every[kind - 1].append((a, b))
-        out.append((base, [sorted(s) for s in every]))
+        out.append((base, [sorted(s) for s in every[:-1]], every[-1]))
     return out
 
 
+def _touches(spans: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a span of a sorted list meets a to b. At most one of each kind begins before a and ends after it."""
+    return any(s < b and a < e for s, e in spans[max(0, bisect.bisect_left(spans, (a, a)) - 64) : bisect.bisect_left(spans, (b, b))])
+
+
 def _joined(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, found in zip(KINDS, spans, strict=True) for a, b in found)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), redact: bool = False) -> DataFrame:
-    """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, and the columns named in keep.
+    """One row per document: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, secrets, private, and the columns named in keep.
 
     Offsets count code points, ends are exclusive. Counts and base_sha256 are those of the patterns; spans also holds the
-    network's. Null and empty texts have no spans. Repeated rows give a row each; empty tables give none; other columns
-    do no harm. With redact, text_col is returned too, every span replaced by its kind in angle brackets.
+    network's of those kinds, secrets (start:end) its own kind; private is true if there is any span. Null and empty texts
+    have no spans. Repeated rows give a row each; empty tables give none; other columns do no harm. With redact, text_col
+    is returned too, every span replaced by its kind in angle brackets.
     """
     model = trained()
+    new = [("n_email", pa.int64()), ("n_ip", pa.int64()), ("n_card", pa.int64()), ("n_phone", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_secret", pa.int64()), ("secrets", pa.string()), ("private", pa.bool_()), ("redacted", pa.string())]
 
     def run(parts):
         for part in parts:
@@ -436,24 +498,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
                 while b < len(texts) and (b == at or size + len(texts[b] or "") <= 1 << 19):
                     size += len(texts[b] or "")
                     b += 1
-                for text, (base, every) in zip(texts[at:b], find(model, [t or "" for t in texts[at:b]]), strict=True):
-                    rows.append((*map(len, base), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), _redacted(text, every) if redact else None))
+                for text, (base, every, secrets) in zip(texts[at:b], find(model, [t or "" for t in texts[at:b]]), strict=True):
+                    digest = hashlib.sha256(_joined(base).encode()).hexdigest()
+                    marks = _redacted(text, [*every, secrets]) if redact else None
+                    rows.append((*map(len, base), digest, _joined(every), len(secrets), ",".join(f"{x}:{y}" for x, y in secrets), bool(secrets or any(every)), marks))
                 at = b
-            kinds = [pa.int64()] * 4 + [pa.string()] * (2 + redact)
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]], [*part.schema.names[1:], "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", *["_redacted"] * redact])
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(new)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(c, k) for c, (_, k) in zip(columns, new, strict=True)]], [*part.schema.names[1:], *[n for n, _ in new]])
 
     others = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
-    chosen = only(docs, text_col, *others)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    out = chosen.mapInArrow(run, f"{fields}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", _redacted string" * redact)
-    return out.withColumn(text_col, F.col("_redacted")).drop("_redacted") if redact else out
+    chosen = only(docs, text_col, *others).toDF("text", *[f"_keep{i}" for i in range(len(others))])
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[1:])
+    out = chosen.mapInArrow(run, fields + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, private boolean, redacted string")
+    first, *rest = [F.col(f"_keep{i}").alias(n) for i, n in enumerate(others)]
+    return out.select(first, *[n for n, _ in new[:-1]], *rest, *[F.col("redacted").alias(text_col)] * redact)
 
 
 def _redacted(text: str | None, spans: list[list[tuple[int, int]]]) -> str | None:
     if text is None:
         return None
-    marks = sorted((a, b, k) for k, found in zip(KINDS, spans, strict=True) for a, b in found)
+    marks = sorted((a, b, k) for k, found in zip((*KINDS, "secret"), spans, strict=True) for a, b in found)
     out, at = [], 0
     for a, b, k in marks:
         if b <= at:
