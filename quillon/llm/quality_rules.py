@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects documents whose feature exceeds a cutoff. Cutoffs are chosen for each stratum (language) on labelled
-holdouts: of the rising candidates of a rule, the least one is taken for which the exact binomial test shows, at a level
-shared among all rules, cutoffs and strata (Bonferroni), that at most `risk` of good documents are rejected. A stratum
-with too few labels to show that gets no such rule.
+Each rule rejects documents whose feature exceeds a cutoff; a setting gives every rule a cutoff or leaves it out. For each
+stratum (language) every setting is tested on the labelled documents: the exact binomial test must show, at a level shared
+among all settings and strata (Bonferroni), that its rules together reject at most `risk` of good documents. As all
+settings are tested at once, any choice among those that pass keeps the bound; taken is the one that rejects most bad
+documents, a good one that it rejects counting as `weight` bad ones. A stratum with too few labels gets no rules.
 """
 
 from __future__ import annotations
@@ -11,24 +12,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import materialise, only, small
 
 WORD_PARTS = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Rules and their rising candidate cutoffs, in thousandths (symbols and marks to characters of words, lines to lines with a word, words to words).
-CUTOFFS = {
-    "symbols": [5, 10, 20, 40, 80, 160, 320],
-    "marks": [5, 10, 20, 40, 80, 160, 320],
-    "dup_lines": [100, 200, 300, 400, 500, 600, 700],
-    "repeats": [50, 100, 150, 200, 300, 400, 500],
-}
+CUTOFFS = {"symbols": [20, 80, 320], "marks": [20, 80, 320], "dup_lines": [200, 400, 600], "repeats": [100, 200, 400]}
+#: Ways to set a rule: left out, then its cutoffs from the laxest to the strictest. A setting is a number with a digit for each rule.
+WAYS = 4
+SETTINGS = WAYS ** len(CUTOFFS)
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """doc_id, stratum and whole-text counts. A null text has no words; a null stratum counts as ''."""
-    text = F.coalesce(text_col, F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(stratum_col, F.lit("")).alias("stratum"), text.alias("text"))
+    named = only(docs, id_col, text_col, stratum_col).toDF("doc_id", "text", "stratum")
+    d = named.select("doc_id", F.coalesce("stratum", F.lit("")).alias("stratum"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("words", F.array_remove(F.split("text", WORD_PARTS), "")).withColumn("n_words", F.size("words").cast("long"))
     lines = F.filter(F.split("text", "\n"), lambda s: F.translate(s, SPACES, "") != "")
     d = d.select(
@@ -70,21 +69,35 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(upto, start, step)["sum"]
 
 
-def thresholds(found: DataFrame, labels: DataFrame, risk: float, level: float, label_id: str = "doc_id", quality_col: str = "quality") -> DataFrame:
-    """stratum and the chosen cutoff of each rule (null: not used). found: features(), labels: id and quality (1 is good)."""
-    # One label for each id (the least where they differ); an even id hash calibrates, the other half stays for audits.
-    good = labels.groupBy(F.col(label_id).alias("doc_id")).agg(F.min(quality_col).alias("q")).where("q = 1").select("doc_id")
-    held = found.join(good, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0).where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words")
-    rules = _thousandths()
-    fired = [F.count_if(1000 * rules[r][0] > c * rules[r][1]).alias(f"{r}_{c}") for r, cuts in CUTOFFS.items() for c in cuts]
-    counts = materialise(held.groupBy("stratum").agg(F.count("*").alias("n"), *fired), "calibration")
-    per_test = F.lit(level) / F.greatest(F.lit(1), F.col("strata")) / sum(map(len, CUTOFFS.values()))
-    counts = counts.join(F.broadcast(counts.agg(F.count("*").alias("strata"))))  # one row
-    safe = {r: [F.when(binomial_cdf(F.col(f"{r}_{c}"), F.col("n"), risk) <= per_test, F.lit(c)) for c in cuts] for r, cuts in CUTOFFS.items()}
-    return counts.select("stratum", *[F.coalesce(*cs).alias(f"cut_{r}") for r, cs in safe.items()])
+def _digit(rule: int) -> Column:
+    return (F.floor(F.col("setting") / WAYS**rule) % WAYS).cast("int")
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def thresholds(found: DataFrame, labels: DataFrame, risk: float, level: float, weight: int = 10, label_id: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """stratum and the chosen cutoff of each rule (null: not used). found: features(), labels: id and quality (1 is good, 0 bad)."""
+    # One label for each id (the least where they differ).
+    told = only(labels, label_id, quality_col).toDF("doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality in (0, 1)")
+    held = found.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").join(told, "doc_id")
+    rules = _thousandths()
+    # How many of its cutoffs a document exceeds says all about a rule, so a stratum shrinks to a small histogram.
+    steps = [sum((F.coalesce(1000 * rules[r][0] > c * rules[r][1], F.lit(False)).cast("int") for c in cuts), F.lit(0)).alias(f"at_{r}") for r, cuts in CUTOFFS.items()]
+    names = [f"at_{r}" for r in CUTOFFS]
+    counts = materialise(held.select("stratum", "quality", *steps).groupBy("stratum", *names).agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")), "calibration")
+    tried = counts.withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(SETTINGS - 1))))
+    fires = F.lit(False)
+    for i, name in enumerate(names):
+        fires = fires | (F.col(name) + _digit(i) >= WAYS)
+    sums = tried.groupBy("stratum", "setting").agg(F.sum("good").alias("n"), F.sum(F.when(fires, F.col("good")).otherwise(0)).alias("k"), F.sum("bad").alias("n_bad"), F.sum(F.when(fires, F.col("bad")).otherwise(0)).alias("k_bad"))
+    per_test = F.lit(level) / F.greatest(F.lit(1), F.col("strata")) / SETTINGS
+    sums = sums.join(F.broadcast(counts.agg(F.count_distinct("stratum").alias("strata"))))  # one row
+    safe = sums.where(F.col("k") <= F.col("n") * risk).where(binomial_cdf(F.col("k"), F.col("n"), risk) <= per_test)
+    worth = F.struct((F.col("k_bad") * F.col("n") - weight * F.col("k") * F.col("n_bad")).alias("worth"), (-F.col("setting")).alias("setting"))
+    chosen = safe.groupBy("stratum").agg(F.max_by("setting", worth).alias("setting"))
+    cut = lambda i, cuts: F.get(F.array(F.lit(None).cast("int"), *map(F.lit, reversed(cuts))), _digit(i))
+    return chosen.select("stratum", *[cut(i, cuts).alias(f"cut_{r}") for i, (r, cuts) in enumerate(CUTOFFS.items())])
+
+
+def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.05, level: float = 0.05, weight: int = 10, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed_rules.
 
     Null, empty and wordless texts have zero counts and fail the base rules. Repeated rows give a row each with equal
@@ -92,7 +105,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float =
     windows are told by 64-bit hashes of the windows. Other columns are not looked at.
     """
     found = materialise(features(docs, id_col, text_col, stratum_col), "features")
-    cuts = materialise(thresholds(found, labels, risk, level), "cutoffs")
+    cuts = materialise(thresholds(found, labels, risk, level, weight), "cutoffs")
     rules = _thousandths()
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(1000 * a > F.col(f"cut_{r}") * b, F.lit(r)) for r, (a, b) in rules.items()]))
@@ -100,12 +113,11 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.01, level: float =
     return out.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")
 
 
-def oracle(risk: float = 0.01, level: float = 0.05) -> str:
+def oracle(risk: float = 0.05, level: float = 0.05, weight: int = 10) -> str:
     """DuckDB SQL for judge() over documents and labels."""
     measure = {"symbols": ("n_symbols", "word_chars"), "marks": ("n_marks", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
-    tests = ", ".join(f"({i}, '{r}', {c})" for i, (r, cuts) in enumerate(CUTOFFS.items()) for c in cuts)
-    value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {a}" for r, (a, _) in measure.items()) + " END"
-    against = "CASE rule " + " ".join(f"WHEN '{r}' THEN {b}" for r, (_, b) in measure.items()) + " END"
+    fires = " OR ".join(f"1000 * {a} > CASE setting // {WAYS**i} % {WAYS} " + " ".join(f"WHEN {WAYS - 1 - j} THEN {c}" for j, c in enumerate(CUTOFFS[r])) + f" END * {b}" for i, (r, (a, b)) in enumerate(measure.items()))
+    fired = ", ".join(f"CASE WHEN 1000 * {a} > CASE setting // {WAYS**i} % {WAYS} " + " ".join(f"WHEN {WAYS - 1 - j} THEN {c}" for j, c in enumerate(CUTOFFS[r])) + f" END * {b} THEN '{r}' END" for i, (r, (a, b)) in enumerate(measure.items()))
     strip = "replace(replace(replace(replace(replace(replace({0}, ' ', ''), chr(9), ''), chr(10), ''), chr(11), ''), chr(12), ''), chr(13), '')"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -125,23 +137,19 @@ f AS (
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-folds AS (
-  SELECT doc_id FROM (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id) WHERE q = 1),
-crc AS (
-  SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
-    lambda c, x: list_reduce(list_prepend(xor(c, x), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::BIGINT) ELSE y // 2 END)) AS c FROM folds),
-held AS (SELECT b.* FROM b JOIN crc ON b.doc_id = crc.doc_id WHERE xor(crc.c, 4294967295::BIGINT) % 2 = 0 AND NOT base_failed),
-tests(pos, rule, cut) AS (VALUES {tests}),
+told AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id HAVING min(quality) IN (0, 1)),
+held AS (SELECT b.*, quality FROM b JOIN told USING (doc_id) WHERE NOT base_failed),
 k AS (
-  SELECT stratum, pos, rule, cut, count(*) AS n, count_if(1000 * {value} > cut * {against}) AS k FROM held, tests GROUP BY ALL),
+  SELECT stratum, setting, count_if(quality = 1) AS n, count_if(quality = 1 AND coalesce({fires}, false)) AS k,
+    count_if(quality = 0) AS n_bad, count_if(quality = 0 AND coalesce({fires}, false)) AS k_bad
+  FROM held, range({SETTINGS}) AS s(setting) GROUP BY ALL),
 p AS (
-  SELECT stratum, rule, cut, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({risk}) + (n - i) * ln(1 - {risk}))) FROM generate_series(0, k.k::BIGINT) AS s(i)) AS cdf FROM k),
-cuts AS (
-  SELECT stratum, rule, min(cut) AS cut FROM p
-  WHERE cdf <= {level} / (SELECT greatest(1, count(DISTINCT stratum)) FROM k) / {sum(map(len, CUTOFFS.values()))} GROUP BY ALL),
-bad AS (
-  SELECT DISTINCT doc_id, pos, rule FROM b JOIN cuts USING (stratum) JOIN (SELECT DISTINCT pos, rule FROM tests) USING (rule) WHERE 1000 * {value} > cut * {against})
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND bad.rules IS NULL AS kept, coalesce(bad.rules, '') AS failed_rules
-FROM b LEFT JOIN (SELECT doc_id, string_agg(rule, ',' ORDER BY pos) AS rules FROM bad GROUP BY doc_id) bad USING (doc_id)
+  SELECT *, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({risk}) + (n - i) * ln(1 - {risk}))) FROM generate_series(0, k.k::BIGINT) AS s(i)) AS cdf
+  FROM k WHERE k <= n * {risk}),
+chosen AS (
+  SELECT stratum, setting FROM p WHERE cdf <= {level} / (SELECT greatest(1, count(DISTINCT stratum)) FROM k) / {SETTINGS}
+  QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY k_bad * n - {weight} * k * n_bad DESC, setting) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND rules = '' AS kept, rules AS failed_rules
+FROM (SELECT b.*, concat_ws(',', {fired}) AS rules FROM b LEFT JOIN chosen USING (stratum))
 """
