@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import crc_fold, materialise, only, small
+from .common import crc_fold, materialise, only, place, places, small
 
 #: The fit's bounds: documents for each language, windows for each document, characters of a window.
 DOCS_PER_LANG, WINDOWS, WINDOW_CHARS = 250, 6, 64
@@ -190,6 +191,7 @@ def fit_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Da
 
     Training documents are those whose crc32(id) mod 4 is not 2, with text and lang.
     """
+    docs = only(docs, id_col, text_col, lang_col)
     d = docs.where((crc_fold(id_col, 4) != 2) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     slot = F.pmod(F.crc32(F.concat(F.lit("slot:"), F.col(id_col).cast("string")).cast("binary")), F.lit(DOCS_PER_LANG))
     # The sample is found on ids alone; partial aggregation leaves one id for each language, slot and task.
@@ -215,9 +217,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Predictions look at the text alone. A null text, or one without a letter, is `und` with score 0; so is every text if
     nothing could be learned (no labelled training documents). held_out is false where the id is null. Repeated rows
-    give a row each with equal results; empty tables give none; other columns do no harm.
+    give a row each with equal results; empty tables give none; other columns do no harm. A kept column that is named as a
+    new one (score) stays beside it.
     """
-    model = model or fit(only(docs, id_col, text_col, lang_col), id_col, text_col, lang_col)
+    model = model or fit(docs, id_col, text_col, lang_col)
 
     def run(parts):
         for part in parts:
@@ -236,8 +239,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 at = b
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names[1:], "lang_pred", "score"])
 
-    held = F.coalesce(crc_fold(id_col, 4) == 2, F.lit(False)).alias("held_out")
-    chosen = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in dict.fromkeys((id_col, *keep))], held)
+    named = list(dict.fromkeys((id_col, *keep)))
+    rows = places(docs)
+    held = F.coalesce(crc_fold(F.col(place(docs, id_col)), 4) == 2, F.lit(False)).alias("held_out")
+    chosen = rows.select(F.col(place(docs, text_col)).alias("_text"), *[F.col(place(docs, n)).alias(f"_keep{i}") for i, n in enumerate(named)], held)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
     out = chosen.mapInArrow(run, f"{fields}, lang_pred string, score double")
-    return out.select(id_col, "held_out", "lang_pred", "score", *[c for c in keep if c != id_col])
+    first, *others = [F.col(f"_keep{i}").alias(n) for i, n in enumerate(named)]
+    return out.select(first, "held_out", "lang_pred", "score", *others)
+
+
+def least_scores(found: DataFrame, lang_col: str = "lang", share: float = 0.001) -> DataFrame:
+    """lang_pred and least: the score, in thousandths, that all but at most a share of the language's labelled documents reach.
+
+    found: identify() with lang_col kept. Labelled documents are those of the training folds whose label is the prediction.
+    A histogram of 1001 bins for each language decides, so the cut is the same however rows are dealt.
+    """
+    right = found.where(~F.col("held_out") & (F.col(lang_col) == F.col("lang_pred")) & (F.col("lang_pred") != UNDETERMINED))
+    bins = right.groupBy("lang_pred", F.floor(F.col("score") * 1000).cast("int").alias("bin")).count()
+    upto = Window.partitionBy("lang_pred").orderBy("bin")
+    held = bins.select("lang_pred", "bin", F.sum("count").over(upto).alias("upto"), F.sum("count").over(Window.partitionBy("lang_pred")).alias("n"))
+    return held.where(F.col("upto") > F.col("n") * share).groupBy("lang_pred").agg(F.min("bin").alias("least"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small
+from .common import materialise, only, place, places, small
 
 #: Uniform numbers and distribution steps are whole numbers of 2^-40.
 UNIT_BITS = 40
@@ -29,7 +29,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     source's share is in proportion to its characters to the power of temperature. The mixture is as large as the input
     in the mean. A source without characters has rate 0. A null source counts as ''.
     """
-    chars = docs.groupBy(F.coalesce(source_col, F.lit("")).alias("source")).agg(F.sum(F.length(F.coalesce(text_col, F.lit("")))).alias("chars"))
+    named = only(docs, text_col, source_col).toDF("text", "source")
+    chars = named.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
     if weights is None:
         raw = F.pow(F.col("chars").cast("double"), F.lit(temperature))
     else:
@@ -64,16 +65,18 @@ def replicate(docs: DataFrame, seed: str = "mix-1", weights: dict[str, float] |
     """docs with each row repeated by its Poisson count, in hashed order; adds _replica (from 1) and _order.
 
     Rows with a null id share one uniform number; repeated ids get equal counts. Null and empty texts add no characters
-    but are repeated as their source is. Empty tables give none. All columns of docs are kept.
+    but are repeated as their source is. Empty tables give none. All columns of docs are kept, whatever their names; only
+    columns already named _replica or _order give way to the new ones.
     """
-    found = rates(docs, weights, temperature, text_col, source_col).select(F.col("source").alias("_source"), poisson_steps(F.col("rate")).alias("_steps"))
-    keyed = docs.withColumn("_source", F.coalesce(source_col, F.lit("")))
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = keyed.join(small(materialise(found, "steps")), "_source").withColumn("_u", unit(F.lit(seed), ident))
-    copies = F.size(F.filter("_steps", lambda s: s <= F.col("_u")))
-    many = counted.withColumn("_copies", copies).where("_copies > 0").drop("_steps", "_source", "_u").withColumn("_replica", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
-    order = F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("_replica").cast("string")).cast("binary"))
-    return many.withColumn("_order", order).orderBy("_order", id_col)
+    found = rates(docs, weights, temperature, text_col, source_col).select(F.col("source").alias("source"), poisson_steps(F.col("rate")).alias("steps"))
+    ident = F.coalesce(F.col(place(docs, id_col)).cast("string"), F.lit(""))
+    keyed = places(docs).withColumn("source", F.coalesce(place(docs, source_col), F.lit("")))
+    counted = keyed.join(small(materialise(found, "steps")), "source").withColumn("u", unit(F.lit(seed), ident))
+    many = counted.withColumn("copies", F.size(F.filter("steps", lambda s: s <= F.col("u")))).where("copies > 0").withColumn("replica", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("replica").cast("string")).cast("binary"))
+    shown = [(f"_{i}", n) for i, n in enumerate(docs.columns) if n not in ("_replica", "_order")]
+    ranked = many.withColumn("order", order).drop("steps", "source", "u", "copies").orderBy("order", place(docs, id_col))
+    return ranked.select(*[F.col(c).alias(n) for c, n in shown], F.col("replica").alias("_replica"), F.col("order").alias("_order"))
 
 
 ORACLE = """
