@@ -2,8 +2,11 @@
 
 Audio becomes frames of twelve pitch classes; filters over an integral image of those frames, each quantised to two bits
 in Gray order, give one packed 32-bit integer for each frame. Two recordings are aligned at the offset at which most of
-their integers agree, and match if the share of differing bits over their overlap there is small. A stated set of
-queries is matched against all rows in blocks of bounded size.
+their integers agree, and match if the share of differing bits over their overlap there is small.
+
+Recordings of equal fingerprints are one class. A stated set of queries is matched against all rows by a join of classes on
+their integers, whose offsets are counted in Spark; links are kept between classes, and each row gets their number. So a
+group of copies costs one class, and results grow with the rows.
 """
 
 from __future__ import annotations
@@ -17,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import kind_of, materialise, only, small
 
 RATE, FRAME, HOP = 4096, 1024, 256
 #: A match: at most this share of differing bits, over at least this many frames and this share of the shorter one.
 MAX_ERRORS, MIN_FRAMES, MIN_SHARE = 0.25, 16, 0.5
-#: Queries in a block: what a task holds besides its rows.
-BLOCK = 2048
+#: Postings of queries that are broadcast at most, and postings of one integer in a part of a salted join beyond that.
+BROADCAST_POSTINGS, POSTINGS = 400_000, 1_000_000
+#: Weakest bits of each integer of a query that are tried both ways: 0.78 of the pairs that match share an integer, 0.96 do with four toggled.
+PROBES = 4
 #: Samples that are turned into chroma at a time.
 CHUNK = 1 << 20
 
@@ -117,47 +122,50 @@ def cuts() -> np.ndarray:
     return np.quantile(seen, (0.25, 0.5, 0.75), axis=0)
 
 
-def fingerprint(samples: np.ndarray) -> np.ndarray:
-    """Packed 32-bit integers, one for each frame that all filters cover. Too short a recording has none."""
-    r = responses(chroma(samples))
+def packed(r: np.ndarray) -> np.ndarray:
+    """Integers of filter responses."""
     level = (r[None] > cuts()[:, None, :]).sum(0)
     gray = (level ^ (level >> 1)).astype(np.uint32)
     return (gray << (2 * np.arange(len(FILTERS), dtype=np.uint32))).sum(1, dtype=np.uint32)
 
 
+def weakest(r: np.ndarray) -> np.ndarray:
+    """(frames, PROBES) bits, one set in each, that flip where a response crosses its nearest quantisation step; nearest first."""
+    steps = cuts()
+    level = (r[None] > steps[:, None, :]).sum(0)
+    far = np.abs(r[None] - steps[:, None, :])
+    near = far.argmin(0)
+    other = np.where(level > near, near, near + 1)  # the level beyond the nearest step
+    flip = ((level ^ (level >> 1)) ^ (other ^ (other >> 1))).astype(np.uint32) << (2 * np.arange(len(FILTERS), dtype=np.uint32))
+    order = np.argsort(far.min(0) / (steps[2] - steps[0]), 1, kind="stable")[:, :PROBES]
+    return np.take_along_axis(flip, order, 1).astype(np.uint32)
+
+
+def fingerprint(samples: np.ndarray) -> np.ndarray:
+    """Packed 32-bit integers, one for each frame that all filters cover. Too short a recording has none."""
+    return packed(responses(chroma(samples)))
+
+
 def pcm16(audio: bytes | None) -> np.ndarray:
     """Samples of mono 16-bit little-endian PCM at RATE; a last odd byte is passed over, null is silence of no length."""
     return np.frombuffer((audio or b"")[: len(audio or b"") // 2 * 2], "<i2").astype(np.float32) / 32768
 
 
-def fingerprints(media: DataFrame, id_col: str, media_col: str, samples: Callable = pcm16) -> DataFrame:
-    """id and fingerprint (little-endian 32-bit integers) of each row. samples turns a cell into samples."""
+def fingerprints(media: DataFrame, id_col: str, media_col: str, samples: Callable = pcm16, every: int = 50) -> DataFrame:
+    """id, fingerprint (little-endian 32-bit integers) and, of queries, the weakest bits of each integer. samples turns a cell into samples."""
     cuts()
 
     def run(parts: Iterator[pa.RecordBatch]):
         for part in parts:
-            cells = part.column(1)
-            prints = [fingerprint(samples(c.as_py())).astype("<u4").tobytes() for c in cells]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary())], ["id", "print"])
+            prints, weak = [], []
+            for cell, asked in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                r = responses(chroma(samples(cell.as_py())))
+                prints.append(packed(r).astype("<u4").tobytes())
+                weak.append(weakest(r).astype("<u4").tobytes() if asked else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints, pa.binary()), pa.array(weak, pa.binary())], ["id", "print", "weak"])
 
-    kind = media.schema[id_col].dataType.simpleString()
-    return media.select(F.col(id_col), F.col(media_col)).mapInArrow(run, f"id {kind}, print binary")
-
-
-@dataclass
-class Block:
-    """Queries with an index of their integers: code, query and frame, in code order."""
-
-    ids: list
-    prints: list[np.ndarray]
-
-    def __post_init__(self):
-        codes = np.concatenate([*self.prints, np.zeros(0, np.uint32)])
-        sizes = [len(p) for p in self.prints]
-        order = np.argsort(codes, kind="stable")
-        self.codes = codes[order]
-        self.query = np.repeat(np.arange(len(sizes)), sizes)[order]
-        self.frame = (np.arange(len(codes)) - np.repeat(np.cumsum([0, *sizes])[:-1], sizes))[order]
+    rows = only(media, id_col, media_col).toDF("id", "cell").select("id", "cell", (F.pmod("id", F.lit(every)) == 0).alias("asked"))
+    return rows.mapInArrow(run, f"id {kind_of(media, id_col)}, print binary, weak binary")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -172,67 +180,102 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, int]:
     return int(_ONES[x & np.uint32(0xFFFF)].sum(dtype=np.int64) + _ONES[x >> np.uint32(16)].sum(dtype=np.int64)), hi - lo
 
 
-def aligned(block: Block, rows: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
-    """(query, row, offset, frames, bit errors) of every query and row that match at their best offset.
+def matches(a: np.ndarray, b: np.ndarray, wrong: int, frames: int) -> bool:
+    return frames >= MIN_FRAMES and frames >= MIN_SHARE * min(len(a), len(b)) and wrong <= MAX_ERRORS * 32 * frames
+
+
+def posted(p: np.ndarray) -> np.ndarray:
+    """Frames at which a run of equal integers begins; a held tone or silence votes once, not once for each pair of its frames."""
+    return np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else np.zeros(0, np.int64)
 
-    The offset histogram counts equal integers; of equal peaks the smaller shift wins, then the lower.
-    """
-    out = []
-    for r, p in enumerate(rows):
-        if not len(p):
-            continue
-        lo, hi = np.searchsorted(block.codes, p, "left"), np.searchsorted(block.codes, p, "right")
-        n = hi - lo
-        if not n.any():
-            continue
-        hits = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        shift = block.frame[hits] - np.repeat(np.arange(len(p)), n)
-        key, votes = np.unique(block.query[hits] << 32 | (shift + (1 << 31)), return_counts=True)
-        query, offset = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
-        order = np.lexsort((offset, np.abs(offset), -votes, query))
-        first = order[np.concatenate(([True], np.diff(query[order]) > 0))]
-        for q, o in zip(query[first].tolist(), offset[first].tolist(), strict=True):
-            a = block.prints[q]
-            wrong, frames = bit_errors(a, p, o)
-            if frames >= MIN_FRAMES and frames >= MIN_SHARE * min(len(a), len(p)) and wrong <= MAX_ERRORS * 32 * frames:
-                out.append((q, r, o, frames, wrong))
-    return out
 
+def classes(prints: DataFrame, every: int) -> DataFrame:
+    """key (digest of the print), print, weak bits, class_id (least id), n_rows, n_queries of each distinct print that has frames."""
+    query = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False))
+    keyed = prints.where(F.length("print") > 0).withColumn("key", F.unhex(F.md5("print")))
+    return keyed.groupBy("key").agg(F.first("print").alias("print"), F.max("weak").alias("weak"), F.min("id").alias("class_id"), F.count("*").alias("n_rows"), F.count_if(query).alias("n_queries"))
 
-def search(prints: DataFrame, every: int = 50) -> DataFrame:
-    """query_id, id, offset, frames, bit_errors for each row id % every = 0 as a query, and every other row that matches it.
 
-    prints: id and print, in a table. Rows without audio, or too short for a frame, match nothing; null ids are no
-    queries; repeated ids are rows of their own. Queries are taken in blocks of at most BLOCK, one pass over all rows each.
+_WAYS = np.array([[i >> k & 1 for k in range(PROBES)] for i in range(1 << PROBES)], np.uint32)
+
+
+def _postings(found: DataFrame, name: str, probe: bool = False) -> DataFrame:
+    """code, key under the given name and frame of each run's beginning; with probe each code with its weakest bits set every way."""
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            for at in range(0, part.num_rows, 256):
+                rows = [np.frombuffer(p, "<u4") for p in part.column(1).slice(at, 256).to_pylist()]
+                frames = [posted(p) for p in rows]
+                codes = [p[f] for p, f in zip(rows, frames, strict=True)]
+                if probe:
+                    weak = [np.frombuffer(w, "<u4").reshape(-1, PROBES)[f] for w, f in zip(part.column(2).slice(at, 256).to_pylist(), frames, strict=True)]
+                    codes = [(c[:, None] ^ (w @ _WAYS.T)).ravel() for c, w in zip(codes, weak, strict=True)]
+                    frames = [np.repeat(f, len(_WAYS)) for f in frames]
+                owner = np.repeat(np.arange(len(rows)), [len(f) for f in frames])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(codes).astype(np.uint32).view(np.int32)), part.column(0).take(pa.array(owner + at)), pa.array(np.concatenate(frames).astype(np.int32))], ["code", name, f"{name}_frame"])
+
+    return found.select("key", "print", *["weak"] * probe).mapInArrow(run, f"code int, {name} binary, {name}_frame int")
+
+
+def links(found: DataFrame) -> DataFrame:
+    """q, key, offset, frames, bit_errors of each class with a query and every other class that matches it. found: classes(), in a table.
+
+    Of the offsets at which integers agree the one with most votes counts; of equals that of the smaller shift, then the
+    lower.
     """
-    kind = prints.schema["id"].dataType.simpleString()
-    queries = prints.where(F.pmod("id", F.lit(every)) == 0)
-    blocks = max(1, -(-queries.count() // BLOCK * 3 // 2))  # hashed blocks vary in size; half as many again leaves room
-    out = None
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(blocks)) == i).collect() if blocks > 1 else queries.collect()
-        block = Block([r["id"] for r in rows], [np.frombuffer(r["print"], "<u4") for r in rows])
-
-        def run(parts: Iterator[pa.RecordBatch], block: Block = block):
-            for part in parts:
-                ids = part.column(0).to_pylist()
-                found = aligned(block, [np.frombuffer(p, "<u4") for p in part.column(1).to_pylist()])
-                found = [f for f in found if block.ids[f[0]] != ids[f[1]]]
-                id_type = part.schema.field(0).type
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block.ids[f[0]] for f in found], id_type), pa.array([ids[f[1]] for f in found], id_type), *[pa.array([f[k] for f in found], pa.int64()) for k in (2, 3, 4)]],
-                    ["query_id", "id", "offset", "frames", "bit_errors"],
-                )
-
-        part = prints.mapInArrow(run, f"query_id {kind}, id {kind}, offset long, frames long, bit_errors long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    asked, rows = _postings(found.where("n_queries > 0"), "q", probe=True), _postings(found, "key")
+    if asked.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS:
+        hits = rows.join(F.broadcast(asked), "code")
+    else:  # integers that very many classes share are dealt over several parts, each of which meets all queries
+        hot = small(materialise(rows.groupBy("code").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("ways")).where("ways > 1"), "hot-codes"))
+        one = F.coalesce("ways", F.lit(1))
+        salted = rows.join(hot, "code", "left").withColumn("part", F.pmod(F.xxhash64("key"), one.cast("long")).cast("int")).drop("ways")
+        hits = salted.join(asked.join(hot, "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("ways"), ["code", "part"])
+    votes = hits.where("q <> key").groupBy("q", "key", (F.col("q_frame") - F.col("key_frame")).alias("shift")).count()
+    best = votes.groupBy("q", "key").agg(F.max_by("shift", F.struct("count", -F.abs("shift"), -F.col("shift"))).alias("shift"))
+    prints = found.select("key", "print")
+    both = best.join(prints.toDF("q", "q_print"), "q").join(prints, "key").select("q", "key", "shift", "q_print", "print")
+
+    def run(parts: Iterator[pa.RecordBatch]):
+        for part in parts:
+            out: list[tuple[int, int, int]] = []
+            for i, (o, a, b) in enumerate(zip(*[part.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
+                x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                wrong, frames = bit_errors(x, y, o)
+                if matches(x, y, wrong, frames):
+                    out.append((i, frames, wrong))
+            kept = part.take(pa.array([i for i, _, _ in out], pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(2).cast(pa.int64()), pa.array([f for _, f, _ in out], pa.int64()), pa.array([w for _, _, w in out], pa.int64())], ["q", "key", "offset", "frames", "bit_errors"])
+
+    return both.mapInArrow(run, "q binary, key binary, offset long, frames long, bit_errors long")
 
 
 def match(media: DataFrame, id_col: str, media_col: str, samples: Callable = pcm16, every: int = 50) -> DataFrame:
-    """search() over the fingerprints of a media column; the matched row's id keeps its name."""
-    prints = materialise(fingerprints(media, id_col, media_col, samples), "prints")
-    return search(prints, every).withColumnRenamed("id", id_col)
+    """One row per row of media: id, class_id, class_rows, n_links, query_class, offset, frames, bit_errors.
+
+    Queries are the rows whose id is divisible by every. class_id is the least id of the class, which is the rows of an
+    equal fingerprint, and class_rows their number. n_links counts the queries, other than the row itself, that match it.
+    The last four are of the best link to another class that holds a query (least share of errors, then most frames,
+    then least class): its class_id and the alignment; null without one. Rows without audio, or too short for a
+    frame, are classes of their own without links; null ids are no queries; rows of a repeated id count each.
+    """
+    prints = materialise(fingerprints(media, id_col, media_col, samples, every), "prints")
+    found = materialise(classes(prints, every), "classes")
+    linked = links(found).join(found.select(F.col("key").alias("q"), F.col("class_id").alias("query_class"), F.col("n_queries").alias("n")), "q")
+    order = F.struct(F.col("bit_errors") / F.col("frames"), -F.col("frames"), "query_class")
+    best = linked.groupBy("key").agg(F.sum("n").alias("others"), F.min_by(F.struct("query_class", "offset", "frames", "bit_errors"), order).alias("best"))
+    # A class of at least the least length matches itself; each row of it is linked with its other queries.
+    own = F.when(F.length("print") >= 4 * MIN_FRAMES, F.col("n_queries")).otherwise(0)
+    told = materialise(found.withColumn("own", own).drop("print").join(best, "key", "left"), "told")
+    query = F.coalesce(F.pmod("id", F.lit(every)) == 0, F.lit(False)).cast("long")
+    rows = prints.select("id", query.alias("is_query"), F.when(F.length("print") > 0, F.unhex(F.md5("print"))).alias("key"))
+    n_links = F.coalesce(F.when(F.col("own") > 0, F.col("own") - F.col("is_query")).otherwise(0), F.lit(0)) + F.coalesce("others", F.lit(0))
+    alone = F.col("key").isNull()
+    return rows.join(told, "key", "left").select(
+        F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("class_rows"),
+        n_links.cast("long").alias("n_links"), "best.query_class", "best.offset", "best.frames", "best.bit_errors",
+    )
 
 
 def embedded(cell: list | None) -> np.ndarray:
