@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.core import dose_key
 
-#: Moles per litre in one of each unit, spelled with either micro sign or u.
-MOLAR_UNITS = {"M": 1.0, "mM": 1e-3, "uM": 1e-6, "µM": 1e-6, "μM": 1e-6, "nM": 1e-9, "pM": 1e-12}
+#: Moles per litre in one of each unit, in lower case, with either micro sign or u.
+MOLAR_UNITS = {"m": 1.0, "mm": 1e-3, "um": 1e-6, "μm": 1e-6, "µm": 1e-6, "nm": 1e-9, "pm": 1e-12, "fm": 1e-15}
+#: Units of mass, share or strength, in lower case, which need a molecular weight or mean no amount.
+OTHER_UNITS = ("mg/ml", "ug/ml", "μg/ml", "µg/ml", "ng/ml", "%", "v/v", "w/v", "x")
 #: Spellings of the vehicle control, upper-cased.
-CONTROL_NAMES = ("DMSO_TF", "DMSO", "VEHICLE", "CONTROL", "UNTREATED")
+CONTROL_NAMES = ("DMSO", "DMSO_TF", "VEHICLE", "UNTREATED", "")
 
 
 def dose(value: Column, unit: Column) -> Column:
     """struct<molar, reason>: the dose in moles per litre, or null with the reason why there is none. 0 is a dose."""
     number = F.when(F.trim(value).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(value).try_cast("double"))
-    factor = F.create_map(*[F.lit(x) for kv in MOLAR_UNITS.items() for x in kv])[F.trim(unit)]
-    mass = F.lower(F.trim(unit)).rlike(r"^[munp]?g/m?l$")
+    named = F.regexp_replace(F.lower(F.trim(unit)), " ", "")
+    factor = F.create_map(*[F.lit(x) for kv in MOLAR_UNITS.items() for x in kv])[named]
+    mass = named.isin(*OTHER_UNITS)
     reason = F.when(value.isNull() | (F.trim(value) == ""), "no value").when(number.isNull(), "not a number").when(unit.isNull() | (F.trim(unit) == ""), "no unit").when(mass, "mass unit: molecular weight needed").when(factor.isNull(), "unknown unit")
     return F.struct(F.when(reason.isNull(), number * factor).alias("molar"), reason.alias("reason"))
 
@@ -40,8 +43,8 @@ def is_combination(parts: Column) -> Column:
 
 
 def is_control(parts: Column) -> Column:
-    """Whether there are components and all are spellings of the control."""
-    return (F.size(parts) > 0) & F.forall(parts, lambda t: F.upper(F.trim(t["name"])).isin(*CONTROL_NAMES))
+    """Whether all components are spellings of the control; a list without components is one."""
+    return F.forall(parts, lambda t: F.upper(F.trim(t["name"])).isin(*CONTROL_NAMES))
 
 
 def primary(parts: Column) -> Column:

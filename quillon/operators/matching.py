@@ -46,6 +46,54 @@ def pairs_within(rows: DataFrame, group: list[str], ident: str, keep: list[str],
     return out if condition is None else out.where(condition)
 
 
+def matched_once(rows: DataFrame, pool: DataFrame, group: str, ident: str, value: str) -> DataFrame:
+    """group, ident, other, gap: each row in id order takes the nearest pool row of its group that none took before, ties by id.
+
+    Greedy matching without replacement is one pass over a group's sorted pool, so a group is a task's work; a row that
+    finds the pool empty has no match. Give groups that fit one task (finer keys where they don't).
+    """
+    import numpy as np
+
+    kind, key = rows.schema[ident].dataType.simpleString(), rows.schema[group].dataType.simpleString()
+
+    def run(left, right):
+        order = right.sort_values(["_value", "_id"])
+        values, ids = order["_value"].to_numpy(float), order["_id"].to_numpy()
+        n = len(values)
+        # Free places are linked; a taken one points on to the next free one on each side (with path halving).
+        up, down = np.arange(n + 1), np.arange(n + 1)  # place i of the pool is i + 1 in down, whose 0 is none
+
+        def find(link: np.ndarray, i: int) -> int:
+            while link[i] != i:
+                link[i] = link[link[i]]
+                i = link[i]
+            return int(i)
+
+        out = []
+        for key_, v in left.sort_values(ident)[[ident, value]].itertuples(index=False):
+            at = int(np.searchsorted(values, v))
+            hi, lo = find(up, at), find(down, at)
+            ends = [(round(abs(values[i] - v), 9), i) for i in (hi, lo - 1) if 0 <= i < n]
+            if not ends:
+                break
+            least = min(d for d, _ in ends)
+            best = None
+            for _, i in [e for e in ends if e[0] == least]:  # among equal distances, the least id
+                j, link = i, (up if i >= at else down)
+                while 0 <= j < n and round(abs(values[j] - v), 9) == least:
+                    if best is None or ids[j] < ids[best]:
+                        best = j
+                    j = find(link, j + 1) if link is up else find(link, j) - 1
+            up[best], down[best + 1] = best + 1, best
+            out.append((left[group].iloc[0], key_, ids[best], abs(values[best] - v)))
+        import pandas as pd
+
+        return pd.DataFrame(out, columns=[group, ident, "other", "gap"])
+
+    ours, theirs = rows.select(group, ident, value), pool.select(group, ident, value).toDF("_group", "_id", "_value")
+    return ours.groupBy(group).cogroup(theirs.groupBy("_group")).applyInPandas(run, f"{group} {key}, {ident} {kind}, other {kind}, gap double")
+
+
 def annotated(rows: DataFrame, fine: DataFrame, coarse: DataFrame, fine_on: list[str], coarse_on: list[str], value: str) -> DataFrame:
     """rows with an array value from the fine table, else the coarse one, else empty."""
     kind = fine.schema[value].dataType.simpleString()

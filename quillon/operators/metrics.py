@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.core import col, cosine, distance, safe_div
 
 
-def kendall_tau(x: Column | str, y: Column | str) -> Column:
-    """Kendall's tau-b of two arrays, all pairs within the row; null where either is constant."""
-    both = F.arrays_zip(col(x).alias("x"), col(y).alias("y"))
-    zero = F.struct(*[F.lit(0).cast("long").alias(n) for n in ("c", "d", "tx", "ty")])
-
-    def pair(acc: Column, p: Column, q: Column) -> Column:
-        s = F.signum(p["x"] - q["x"]) * F.signum(p["y"] - q["y"])
-        ex, ey = p["x"] == q["x"], p["y"] == q["y"]
-        add = lambda name, when: (acc[name] + F.when(when, 1).otherwise(0)).alias(name)
-        return F.struct(add("c", s > 0), add("d", s < 0), add("tx", ey & ~ex), add("ty", ex & ~ey))
-
-    def row(acc: Column, p: Column, q: Column) -> Column:
-        return pair(acc, p, q)
-
-    n = F.size(both)
-    counted = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)),
-        zero,
-        lambda acc, i: F.aggregate(F.slice(both, i + 1, F.greatest(F.lit(0), n - i)), acc, lambda inner, q: row(inner, F.element_at(both, i), q)),
-    )
-    c, d, tx, ty = (counted[k].cast("double") for k in ("c", "d", "tx", "ty"))
-    return F.when(n > 1, safe_div(c - d, F.nullif(F.sqrt((c + d + tx) * (c + d + ty)), F.lit(0.0))))
+def _inversions(y: np.ndarray) -> int:
+    """Pairs i < j with y[i] > y[j], by halves that are sorted and merged."""
+    if len(y) <= 64:
+        return int((y[:, None] > y[None, :])[np.triu_indices(len(y), 1)].sum())
+    left, right = y[: len(y) // 2], y[len(y) // 2 :]
+    across = len(left) - np.searchsorted(np.sort(left), right, "right")
+    return _inversions(left) + _inversions(right) + int(across.sum())
+
+
+def tau_b(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b by one sort and a count of inversions; None where either is constant."""
+    pairs = lambda counts: int((counts * (counts - 1) // 2).sum())
+    order = np.lexsort((y, x))
+    u, v = x[order], y[order]
+    n = len(u) * (len(u) - 1) // 2
+    ties_x, ties_y = pairs(np.unique(u, return_counts=True)[1]), pairs(np.unique(v, return_counts=True)[1])
+    ties = pairs(np.diff(np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]), [True])))))
+    root = math.sqrt((n - ties_x) * (n - ties_y))
+    return (n - ties_x - ties_y + ties - 2 * _inversions(v)) / root if root else None
+
+
+@F.pandas_udf(DoubleType())
+def kendall_tau(x: pd.Series, y: pd.Series) -> pd.Series:
+    """Kendall's tau-b of two arrays of each row; null where either is constant or missing."""
+    return pd.Series([None if a is None or b is None or len(a) < 2 else tau_b(np.asarray(a, np.float64), np.asarray(b, np.float64)) for a, b in zip(x, y, strict=True)], dtype="float64")
 
 
 def partial_correlation(ab: Column, ac: Column, bc: Column) -> Column:

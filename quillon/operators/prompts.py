@@ -32,10 +32,25 @@ def header_of(text: Column) -> Column:
     return F.substring_index(F.substring_index(text, CONTROL_MARK, 1), END_MARK, 1)
 
 
-def scrambled(text: Column, old: Column, new: Column) -> Column:
-    """The prompt with the first mention of old on its treatment line replaced; null where that line doesn't name it."""
+def scrambled(text: Column, old: Column, new: Column, mechanism: Column | None = None) -> Column:
+    """The prompt with the first mention of old on its treatment line replaced; null where that line doesn't name it.
+
+    Only the first treatment line changes. With a mechanism, what that line gives as such is replaced too.
+    """
     lines = F.split(text, "\n")
-    line = F.element_at(F.filter(lines, lambda s: s.startswith("Treatment: ")), 1)
+    number = F.array_position(F.transform(lines, lambda s: s.startswith("Treatment: ")), True).cast("int")
+    line = F.get(lines, number - 1)
     at = F.position(old, line)
     swapped = F.overlay(line, new, at, F.length(old))
-    return F.when(at > 0, F.array_join(F.transform(lines, lambda s: F.when(s == line, swapped).otherwise(s)), "\n"))
+    if mechanism is not None:
+        swapped = F.concat(F.substring_index(swapped, ", mechanism: ", 1), F.lit(", mechanism: "), mechanism)
+    return F.when(at > 0, F.array_join(F.transform(lines, lambda s, i: F.when(i == number - 1, swapped).otherwise(s)), "\n"))
+
+
+def other_mechanism(text: Column, mechanism: Column) -> Column:
+    """The prompt with another mechanism on its first treatment line; null without such a line or field."""
+    lines = F.split(text, "\n")
+    number = F.array_position(F.transform(lines, lambda s: s.startswith("Treatment: ")), True).cast("int")
+    line = F.get(lines, number - 1)
+    swapped = F.concat(F.substring_index(line, ", mechanism: ", 1), F.lit(", mechanism: "), mechanism)
+    return F.when(F.instr(line, ", mechanism: ") > 0, F.array_join(F.transform(lines, lambda s, i: F.when(i == number - 1, swapped).otherwise(s)), "\n"))

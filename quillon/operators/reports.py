@@ -56,6 +56,6 @@ def mismatched_null(rows: DataFrame, group: list[str], ident: str, value: Column
 
     w = Window.partitionBy(*group).orderBy(hash_order(seed, ident), ident)
     numbered = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*group)))
-    wanted = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.pmod(F.col("_i") + 1 + F.pmod(hash_order(seed, "pick", "draw", ident), F.greatest(F.lit(1), F.col("_n") - 1)), F.col("_n")))
+    wanted = numbered.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_j", F.pmod(F.col("_i") + 1 + F.pmod(hash_order(seed, F.lit("pick"), "draw", ident), F.greatest(F.lit(1), F.col("_n") - 1)), F.col("_n")))
     other = numbered.select(*group, F.col("_i").cast("long").alias("_j"), F.col(partner).alias("_other"))
     return wanted.where("_n > 1").withColumn("_j", F.col("_j").cast("long")).join(other, [*group, "_j"]).select(*group, ident, "draw", value.alias("null"))

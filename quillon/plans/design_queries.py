@@ -183,14 +183,14 @@ def _(spark, sf):
     return t.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("t"), "other"))).where("r <= 5").drop("r")
 
 
-PROMPT = """pm AS (SELECT conv_id, turn, role, text, 'Context: ' || role || chr(10) || 'Treatment: T' || conv_id % 7 || ', dose: ' || coalesce((turn + 1) || ' uM', 'unknown') || ', mechanism: ' || CASE WHEN conv_id % 3 = 0 THEN 'unclear' ELSE 'class' || conv_id % 3 END || chr(10) || 'Control cell sentence: ' || regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g') || chr(10) || 'Perturbed cell sentence:' AS prompt FROM conversations WHERE text IS NOT NULL)"""
+PROMPT = """pm AS (SELECT conv_id, turn, role, text, 'Context: ' || role || chr(10) || 'Treatment: T' || conv_id % 7 || ', dose: ' || coalesce((turn + 1) || ' uM', 'unknown') || ', mechanism: ' || CASE WHEN conv_id % 3 = 0 THEN 'unclear' ELSE 'class' || conv_id % 3 END || chr(10) || 'Control cell sentence: ' || regexp_replace(text, '\\s+', ' ', 'g') || chr(10) || 'Perturbed cell sentence:' AS prompt FROM conversations WHERE text IS NOT NULL)"""
 
 
 def _prompts(spark, sf):
     c = B.table(spark, sf, "conversations").where("text is not null")
     name = F.concat(F.lit("T"), (F.col("conv_id") % 7).cast("string"))
     moa = F.when(F.col("conv_id") % 3 == 0, F.lit("N/A")).otherwise(F.concat(F.lit("Class"), (F.col("conv_id") % 3).cast("string")))
-    control = F.regexp_replace(F.substring("text", 1, 40), r"\s+", " ")
+    control = F.regexp_replace("text", r"\s+", " ")
     return c.withColumn("name", name).withColumn("prompt", P.prompt(F.col("role"), name, F.concat((F.col("turn") + 1).cast("string"), F.lit(" uM")), moa, control))
 
 
@@ -199,7 +199,7 @@ def _(spark, sf):
     return _prompts(spark, sf).select("conv_id", "turn", "prompt", F.substring(F.sha1(F.col("prompt").cast("binary")), 1, 16).alias("example_id"))
 
 
-@query("prj33_prompt_parts", "SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g'), ' ') AS control, split_part(prompt, 'Control cell sentence:', 1) AS header FROM pm", PROMPT)
+@query("prj33_prompt_parts", "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS control, split_part(prompt, 'Control cell sentence:', 1) AS header FROM pm", PROMPT)
 def _(spark, sf):
     return _prompts(spark, sf).select("conv_id", "turn", P.control_of(F.col("prompt")).alias("control"), P.header_of(F.col("prompt")).alias("header"))
 
@@ -210,6 +210,12 @@ def _(spark, sf):
     return _prompts(spark, sf).select("conv_id", "turn", P.scrambled(F.col("prompt"), old, F.lit("ZZ")).alias("scrambled"))
 
 
+@query("prj35_scramble_mechanism", "SELECT conv_id, turn, regexp_replace(prompt, ', mechanism: [^\\n]*', ', mechanism: other') AS mechanism_only, CASE WHEN conv_id % 2 = 0 THEN regexp_replace(replace(prompt, 'Treatment: T' || conv_id % 7 || ',', 'Treatment: ZZ,'), ', mechanism: [^\\n]*', ', mechanism: other') END AS both FROM pm", PROMPT)
+def _(spark, sf):
+    old = F.when(F.col("conv_id") % 2 == 0, F.col("name")).otherwise(F.lit("absent"))
+    return _prompts(spark, sf).select("conv_id", "turn", P.other_mechanism(F.col("prompt"), F.lit("other")).alias("mechanism_only"), P.scrambled(F.col("prompt"), old, F.lit("ZZ"), F.lit("other")).alias("both"))
+
+
 @query("prj37_mechanism_default", "SELECT r_name, CASE WHEN lower(trim(r_name)) IN ('', 'nan', 'none', 'unknown', 'n/a', 'unclear') THEN 'unclear' ELSE lower(trim(r_name)) END AS mechanism FROM region")
 def _(spark, sf):
     return B.table(spark, sf, "region").select("r_name", P.known_or_unclear(F.col("r_name")).alias("mechanism"))

@@ -137,11 +137,22 @@ def _(spark, sf):
     return c.select("treatment", r6(partial_correlation(F.col("ab"), F.col("ac"), F.col("bc"))).alias("r"))
 
 
-@query("join13_nearest_covariate", "SELECT a.id, arg_min(b.id, (round(abs(a.value - b.value), 9), b.id)) AS other, round(min(abs(a.value - b.value)), 6) AS gap FROM sc a JOIN sc b ON a.context = b.context AND a.treatment <> b.treatment AND a.treatment > 0 AND b.treatment = 0 GROUP BY a.id", B.VEC, VALUE)
+@query(
+    "join13_nearest_covariate",
+    """SELECT context, id, other, round(gap, 6) AS gap FROM step WHERE id IS NOT NULL""",
+    "RECURSIVE " + B.VEC, VALUE,
+    """tr AS (SELECT context, id, value, row_number() OVER (PARTITION BY context ORDER BY id) AS r FROM sc WHERE treatment > 0),
+pool AS (SELECT context, list({'id': id, 'v': value} ORDER BY id) AS c FROM sc WHERE treatment = 0 GROUP BY context),
+step AS (
+  SELECT context, 0::BIGINT AS r, c, NULL::BIGINT AS id, NULL::BIGINT AS other, NULL::DOUBLE AS gap FROM pool
+  UNION ALL
+  SELECT context, r, list_filter(c, lambda p: p.id <> best.id), id, best.id, abs(best.v - value) FROM (
+    SELECT s.context, t.r, s.c, t.id, t.value, list_sort(list_transform(s.c, lambda p: {'d': round(abs(p.v - t.value), 9), 'id': p.id, 'v': p.v}))[1] AS best
+    FROM step s JOIN tr t ON t.context = s.context AND t.r = s.r + 1 WHERE len(s.c) > 0))""",
+)
 def _(spark, sf):
     s = _scores(spark, sf)
-    p = s.where("treatment > 0").drop("other").join(s.where("treatment = 0").select("context", F.col("id").alias("other"), F.col("value").alias("v")), "context").withColumn("gap", F.abs(F.col("value") - F.col("v")))
-    return p.groupBy("id").agg(F.min_by("other", F.struct(F.round("gap", 9), F.col("other"))).alias("other"), r6(F.min("gap")).alias("gap"))
+    return MA.matched_once(s.where("treatment > 0"), s.where("treatment = 0"), "context", "id", "value").select("context", "id", "other", r6("gap").alias("gap"))
 
 
 # --- models -----------------------------------------------------------------

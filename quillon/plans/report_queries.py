@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.core import corr_agg, cosine, distance, minus, norm, r6
+from ..functions.core import corr_agg, cosine, distance, hash_order, minus, norm, r6
 from ..operators import reports as RP
 from ..operators import residuals as R
 from . import bindings as B
@@ -76,19 +77,40 @@ def _(spark, sf):
     return ranked.groupBy("event_type").agg(r6(corr_agg("rk", "rv")).alias("rho"), F.count("*").alias("n")).where("n >= 3")
 
 
-@query("met19_rate_by_group_size", "SELECT size, round(avg(d), 6) AS spread, count(*) AS groups FROM (SELECT size, context, treatment, sqrt(sum((m - g) ** 2)) AS d FROM (SELECT size, context, treatment, idx, avg(v) AS m FROM (SELECT *, dense_rank() OVER (PARTITION BY context, treatment ORDER BY id) AS r FROM vl) JOIN (SELECT unnest([2, 4, 6]) AS size) ON r <= size GROUP BY ALL) JOIN (SELECT context, treatment, idx, avg(v) AS g FROM vl GROUP BY ALL) USING (context, treatment, idx) GROUP BY ALL) GROUP BY size", B.VEC)
+SWEEP = f"""nk AS (SELECT *, row_number() OVER (PARTITION BY context, treatment ORDER BY {B.hash_sql("sweep", "id")}, id) AS r FROM vec WHERE treatment <> 0),
+sw AS (SELECT size, context, treatment, (r > size)::INT AS half, unnest(x) AS v, unnest(range(0, len(x))) AS idx FROM nk JOIN (SELECT unnest([1, 2, 4]) AS size) ON r <= 2 * size),
+sm AS (SELECT size, context, treatment, half, list(m ORDER BY idx) AS m FROM (SELECT size, context, treatment, half, idx, avg(v) AS m FROM sw GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query(
+    "met19_rate_by_group_size",
+    """SELECT size, round(avg(nir), 6) AS nir, count(*) AS conditions FROM (SELECT q.size, q.context, q.treatment, avg(CASE WHEN round(list_distance(q.m, own.m), 9) < round(list_distance(q.m, o.m), 9) THEN 1 WHEN round(list_distance(q.m, own.m), 9) = round(list_distance(q.m, o.m), 9) THEN 0.5 ELSE 0 END) AS nir
+FROM sm q JOIN sm own ON own.size = q.size AND own.context = q.context AND own.treatment = q.treatment AND own.half = 1 JOIN sm o ON o.size = q.size AND o.context = q.context AND o.treatment <> q.treatment AND o.half = 1 WHERE q.half = 0 GROUP BY ALL) GROUP BY size""",
+    B.VEC, SWEEP,
+)
 def _(spark, sf):
-    from pyspark.sql.window import Window
+    """The identification rate of half means as the number of rows in a half grows."""
+    from ..operators import metrics as M
 
-    v = B.vectors(spark, sf).withColumn("r", F.row_number().over(Window.partitionBy(*CT).orderBy("id")))
-    swept = v.where("r <= 6").withColumn("size", F.explode(F.array(*[F.lit(n) for n in (2, 4, 6)]))).where("r <= size")
-    part = swept.groupBy("size", *CT).agg(R.mean_vector("x").alias("a"))
-    return part.join(_means(spark, sf), CT).groupBy("size").agg(r6(F.avg(distance("a", "m"))).alias("spread"), F.count("*").alias("groups"))
+    r = F.row_number().over(Window.partitionBy(*CT).orderBy(hash_order("sweep", "id"), "id"))
+    rows = B.vectors(spark, sf).where("treatment <> 0").withColumn("r", r).withColumn("size", F.explode(F.array(*[F.lit(n) for n in (1, 2, 4)]))).where("r <= 2 * size")
+    means = rows.groupBy("size", *CT, (F.col("r") > F.col("size")).alias("half")).agg(R.mean_vector("x").alias("v"))
+    pairs = M.gallery(means.where("not half"), means.where("half"), ["size", "context"], "treatment", "v", "distance")
+    rate = pairs.groupBy("size", *CT).agg(M.identification_rate(F.round("own", 9), F.round("sim", 9)).alias("nir"))
+    return rate.groupBy("size").agg(r6(F.avg("nir")).alias("nir"), F.count("*").alias("conditions"))
 
 
-@query("stat19_reliability_null", None)
+@query(
+    "stat19_reliability_null",
+    """SELECT context, round(avg(seen), 6) AS seen, round(any_value(null_mean), 6) AS null_mean, round(any_value(p95), 6) AS p95, round(avg((seen > p95)::INT), 6) AS kept FROM (SELECT context, treatment, list_cosine_similarity(ra, rb) AS seen FROM rl)
+JOIN (SELECT context, avg(c) AS null_mean, quantile_cont(c, 0.95) AS p95 FROM (SELECT w.context, list_cosine_similarity(w.ra, o.rb) AS c FROM mn w CROSS JOIN range(0, 20) d(draw) JOIN mn o ON o.context = w.context AND o.i = (w.i + 1 + """
+    + B.hash_sql("null", "'pick'", "draw", "w.treatment")
+    + """ % greatest(1, w.n - 1)) % w.n WHERE w.n > 1) GROUP BY context) USING (context) GROUP BY context""",
+    B.VEC, HALF, GEN,
+    f"mn AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY {B.hash_sql('null', 'treatment')}, treatment) - 1 AS i, count(*) OVER (PARTITION BY context) AS n FROM rl)",
+)
 def _(spark, sf):
-    """Observed and mismatched-half cosines; rows only, as partners are numbered by window order."""
+    """Observed cosines of halves against those of a hashed other treatment's half."""
     r = _residuals(spark, sf).select("context", "treatment", minus("shift_a", "generic").alias("a"), minus("shift_b", "generic").alias("b"))
     null = RP.mismatched_null(r, ["context"], "treatment", cosine("a", "_other"), "b", 20, "null")
     seen = r.select("context", "treatment", cosine("a", "b").alias("seen"))

@@ -195,11 +195,12 @@ def _(spark, sf):
 
 @query(
     "met25_transfer_coefficient",
-    "SELECT p.treatment, p.context AS a, q.context AS b, round(CASE WHEN abs(list_cosine_similarity(p.r, q.r) / sqrt(p.sb * q.sb)) <= 1 THEN list_cosine_similarity(p.r, q.r) / sqrt(p.sb * q.sb) END, 6) AS t FROM rel p JOIN rel q ON p.treatment = q.treatment AND p.context < q.context WHERE p.sb >= 0.05 AND q.sb >= 0.05",
-    B.VEC, HALF, GEN, "rel AS (SELECT *, CASE WHEN c > 0 AND c < 1 THEN 2 * c / (1 + c) END AS sb FROM (SELECT context, treatment, r, list_cosine_similarity(ra, rb) AS c FROM rl))",
+    "SELECT p.treatment, p.context AS a, q.context AS b, round(CASE WHEN abs(list_cosine_similarity(p.s, q.s) / sqrt(p.sb * q.sb)) <= 1 THEN list_cosine_similarity(p.s, q.s) / sqrt(p.sb * q.sb) END, 6) AS t FROM rel p JOIN rel q ON p.treatment = q.treatment AND p.context < q.context WHERE p.sb >= 0.05 AND q.sb >= 0.05",
+    B.VEC, HALF, "rel AS (SELECT *, CASE WHEN c > 0 AND c < 1 THEN 2 * c / (1 + c) END AS sb FROM (SELECT context, treatment, s, list_cosine_similarity(a, b) AS c FROM (SELECT context, treatment, list(f ORDER BY idx) AS s, list(a ORDER BY idx) AS a, list(b ORDER BY idx) AS b FROM sh GROUP BY ALL)))",
 )
 def _(spark, sf):
-    r = _residuals(spark, sf).select("treatment", "context", "residual", spearman_brown("repro_cos").alias("sb")).where("sb >= 0.05")
+    """Cosines of a treatment's shifts in two contexts over the root of their reliabilities."""
+    r = _shifts(spark, sf).select("treatment", "context", "shift", spearman_brown(cosine("shift_a", "shift_b")).alias("sb")).where("sb >= 0.05")
     p = r.toDF("treatment", "a", "ra", "sa").join(r.toDF("treatment", "b", "rb", "sb"), "treatment").where("a < b")
     return p.select("treatment", "a", "b", r6(disattenuate(cosine("ra", "rb"), "sa", "sb")).alias("t"))
 
@@ -310,18 +311,17 @@ def _(spark, sf):
 
 @query(
     "met23_distance_agreement",
-    """SELECT round(corr(x, y), 6) AS mantel, round(stddev_samp(d0) / avg(d0), 6) AS cv0, round(stddev_samp(d1) / avg(d1), 6) AS cv1 FROM (SELECT d0, d1, rank() OVER (ORDER BY d0) + (count(*) OVER (PARTITION BY d0) - 1) / 2.0 AS x, rank() OVER (ORDER BY d1) + (count(*) OVER (PARTITION BY d1) - 1) / 2.0 AS y
-FROM (SELECT a.treatment, b.treatment AS other, max(round(list_distance(a.m, b.m), 9)) FILTER (WHERE a.context = 0) AS d0, max(round(list_distance(a.m, b.m), 9)) FILTER (WHERE a.context = 1) AS d1 FROM ml a JOIN ml b ON a.context = b.context AND a.treatment < b.treatment WHERE a.context < 2 GROUP BY ALL))""",
-    B.VEC, MEAN, ML,
+    """SELECT p, q, round(corr(x, y), 6) AS mantel, round(stddev_samp(d) / avg(d), 6) AS cv_p, round(stddev_samp(e) / avg(e), 6) AS cv_q FROM (SELECT *, rank() OVER (PARTITION BY p, q ORDER BY d) + (count(*) OVER (PARTITION BY p, q, d) - 1) / 2.0 AS x, rank() OVER (PARTITION BY p, q ORDER BY e) + (count(*) OVER (PARTITION BY p, q, e) - 1) / 2.0 AS y
+FROM (SELECT a.context AS p, b.context AS q, a.d, b.d AS e FROM td a JOIN td b ON a.treatment = b.treatment AND a.other = b.other AND a.context < b.context)) GROUP BY p, q""",
+    B.VEC, MEAN, ML, "td AS (SELECT a.context, a.treatment, b.treatment AS other, round(list_distance(a.m, b.m), 9) AS d FROM ml a JOIN ml b ON a.context = b.context AND a.treatment < b.treatment)",
 )
 def _(spark, sf):
-    m = _means(spark, sf).where("context < 2").select(*CT, "m")  # two contexts are compared
-    d = m.join(m.toDF("context", "other", "o"), "context").where("treatment < other").select("context", "treatment", "other", F.round(distance("m", "o"), 9).alias("d"))
-    side = lambda c: F.max(F.when(F.col("context") == c, F.col("d")))
-    p = d.groupBy("treatment", "other").agg(side(0).alias("d0"), side(1).alias("d1"))
-    pairs = p.agg(F.collect_list("d0").alias("a"), F.collect_list("d1").alias("b"))  # one row for each pair of treatments
-    from ..functions.core import average_ranks
-
-    ranked = pairs.select(F.explode(F.arrays_zip("a", "b", average_ranks("a").alias("x"), average_ranks("b").alias("y"))).alias("z")).select("z.*")
+    """Rank correlation of the distances between treatments in every two contexts."""
+    from ..operators.cells import average_rank
+
+    m = _means(spark, sf).select(*CT, "m")
+    d = m.join(m.toDF("context", "other", "o"), "context").where("treatment < other").select("treatment", "other", "context", F.round(distance("m", "o"), 9).alias("d"))
+    both = d.toDF("treatment", "other", "p", "d").join(d.toDF("treatment", "other", "q", "e"), ["treatment", "other"]).where("p < q")
+    ranked = both.select("p", "q", "d", "e", average_rank("d", ["p", "q"]).alias("x"), average_rank("e", ["p", "q"]).alias("y"))
     cv = lambda c: r6(F.stddev_samp(c) / F.avg(c))
-    return ranked.agg(r6(corr_agg("x", "y")).alias("mantel"), cv("a").alias("cv0"), cv("b").alias("cv1"))
+    return ranked.groupBy("p", "q").agg(r6(corr_agg("x", "y")).alias("mantel"), cv("d").alias("cv_p"), cv("e").alias("cv_q"))
