@@ -185,8 +185,8 @@ def multiway_variance(rows: DataFrame, value: str, nodes: str) -> DataFrame:
     """
     stats = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     e = rows.join(F.broadcast(stats)).select(F.array_sort(F.array_distinct(nodes)).alias("_k"), (F.col(value) - F.col("mean")).alias("_e"))
-    masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("_k")) - 1)
-    chosen = e.select("_e", "_k", F.explode(masks).alias("_m")).select("_e", F.filter("_k", lambda x, i: F.col("_m").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0).alias("_s"))
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("_k")).cast("int") - 1)
+    chosen = e.select("_e", "_k", F.explode(masks).alias("_m")).select("_e", F.filter("_k", lambda x, i: F.floor(F.col("_m") / F.pow(F.lit(2), i)) % 2 == 1).alias("_s"))
     sums = chosen.groupBy("_s").agg(F.sum("_e").alias("_t"), F.count("*").alias("_c"))
     sign = F.when(F.size("_s") % 2 == 1, 1).otherwise(-1)
     whole = sums.agg(F.sum(sign * F.col("_t") * F.col("_t")).alias("v"), F.max(F.when(F.size("_s") == 1, F.col("_c"))).alias("most"), F.count_if(F.size("_s") == 1).alias("g"))
