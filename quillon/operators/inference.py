@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions.core import hash_order, safe_div
+from .sampling import running_total
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -32,11 +34,13 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * (f - 1)
 
 
+@functools.lru_cache(100_000)
 def t_cdf(t: float, df: float) -> float:
     tail = 0.5 * incomplete_beta(df / 2, 0.5, df / (df + t * t))
     return 1 - tail if t > 0 else tail
 
 
+@functools.lru_cache(100_000)
 def t_quantile(p: float, df: float) -> float:
     """Student's t quantile by bisection; the normal one for infinite df."""
     if math.isinf(df):
@@ -167,9 +171,8 @@ def cohens_d(side: Column, value: Column) -> Column:
 
 
 def signed_rank(rows: DataFrame, ident: str, diff: str) -> DataFrame:
-    """n, w_plus: Wilcoxon's statistic of nonzero differences, ties averaged; ranks come from counts of sizes, not a global window over rows."""
+    """n, w_plus: Wilcoxon's statistic of nonzero differences, ties averaged; ranks come from running totals of the counts of sizes."""
     nz = rows.where(F.col(diff) != 0).select(F.abs(diff).alias("_a"), (F.col(diff) > 0).alias("_p"))
     sizes = nz.groupBy("_a").agg(F.count("*").alias("_c"), F.count_if("_p").alias("_k"))
-    below = F.coalesce(F.sum("_c").over(Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("_rank", below + (F.col("_c") + 1) / 2.0)
+    ranked = running_total(sizes, "_a", "_c", "_upto").withColumn("_rank", F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2.0)
     return ranked.agg(F.sum("_c").alias("n"), F.sum(F.col("_k") * F.col("_rank")).alias("w_plus"))

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -72,13 +73,46 @@ def gallery(queries: DataFrame, items: DataFrame, group: list[str], label: str,
     return own.join(others, group).where("_l <> other").select(*group, F.col("_l").alias(label), "other", "own", f("_q", "_v").alias("sim"))
 
 
+#: Rows on one side of a block of distances.
+DISTANCE_BLOCK = 2048
+
+
 def energy_distance(rows: DataFrame, group: list[str], side: str, vec: str, ident: str = "id") -> DataFrame:
-    """group, energy: 2 E|XY| - E|XX| - E|YY| of sides 0 and 1; means within a side are over pairs i < j, 0 for one row."""
-    a = rows.select(*group, F.col(side).alias("s"), F.col(ident).alias("i"), F.col(vec).alias("x"))
-    b = rows.select(*group, F.col(side).alias("t"), F.col(ident).alias("j"), F.col(vec).alias("y"))
-    pairs = a.join(b, group).where("s < t or (s = t and i < j)").select(*group, "s", "t", distance("x", "y").alias("d"))
-    mean = lambda s, t: F.avg(F.when((F.col("s") == s) & (F.col("t") == t), F.col("d")))
-    return pairs.groupBy(*group).agg((2 * mean(0, 1) - F.coalesce(mean(0, 0), F.lit(0.0)) - F.coalesce(mean(1, 1), F.lit(0.0))).alias("energy"))
+    """group, energy: 2 E|XY| - E|XX| - E|YY| of sides 0 and 1; means within a side are over pairs i < j, 0 for one row.
+
+    A group's rows are dealt into blocks, each block meets each later one, and only sums of distances leave a task: rows
+    are copied once for each block, never paired.
+    """
+    chosen = rows.select(*group, F.col(side).cast("int").alias("_s"), F.col(ident).cast("string").alias("_i"), F.col(vec).alias("_x"))
+    sizes = chosen.groupBy(*group).agg(F.ceil(F.count("*") / DISTANCE_BLOCK).cast("int").alias("_n"))
+    dealt = chosen.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64("_i"), F.col("_n").cast("long")).cast("int"))
+    left = dealt.withColumn("_c", F.explode(F.sequence(F.col("_b"), F.col("_n") - 1)))
+    right = dealt.withColumn("_c", F.col("_b")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c"))))
+    keys = [*group, "_b", "_c"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in group)
+    renamed = right.toDF(*[f"{c}_r" for c in right.columns])
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = (np.array(t.column(n).to_pylist(), np.float64).reshape(t.num_rows, -1) for t, n in ((a, "_x"), (b, "_x_r")))
+        s, t = (np.array(c.to_pylist()) for c in (a.column("_s"), b.column("_s_r")))
+        d = np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+        once = 0.5 if a.num_rows and a.column("_b")[0] == a.column("_c")[0] else 1.0  # a block with itself sees each pair twice
+        if once < 1:
+            i, j = (np.array(c.to_pylist()) for c in (a.column("_i"), b.column("_i_r")))
+            same = i[:, None] == j[None, :]
+        else:
+            same = np.zeros(d.shape, bool)
+        out = a.select(group).slice(0, 1)
+        for p, q in ((0, 0), (0, 1), (1, 1)):
+            m = ((s[:, None] == p) & (t == q) | (s[:, None] == q) & (t == p)) & ~same
+            out = out.append_column(f"d{p}{q}", pa.array([float(once * d[m].sum())])).append_column(f"n{p}{q}", pa.array([float(once * m.sum())]))
+        return out
+
+    fields = ", ".join(f"d{p} double, n{p} double" for p in ("00", "01", "11"))
+    parts = left.groupBy(*keys).cogroup(renamed.groupBy(*[f"{k}_r" for k in keys])).applyInArrow(sums, f"{kinds}, {fields}")
+    mean = lambda p: safe_div(F.sum(f"d{p}"), F.nullif(F.sum(f"n{p}"), F.lit(0.0)))
+    energy = 2 * mean("01") - F.coalesce(mean("00"), F.lit(0.0)) - F.coalesce(mean("11"), F.lit(0.0))
+    return parts.groupBy(*group).agg(energy.alias("energy"))
 
 
 def neighbours(rows: DataFrame, others: DataFrame, group: list[str], vec: str, k: int, ident: str = "id", apart: Column | None = None) -> DataFrame:

@@ -11,14 +11,38 @@ from pyspark.sql import functions as F
 from ..functions.core import distance
 
 
-def moments(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """i, j, n, sx, sy, sxx, sxy: the sums that a multi-output ridge needs, one row for each pair of features.
+def moments(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, i, j, n, sx, sy, sxx, sxy: the sums that a multi-output ridge needs, one row for each pair of features.
 
-    Rows expand to P * P terms before partial aggregation folds them within the task; P is the feature count.
+    Each task adds up matrix products of its batches, for each key, and passes on P * P sums, P being the feature count.
     """
-    terms = rows.select(F.posexplode(x).alias("i", "a"), F.col(x).alias("_x"), F.col(y).alias("_y")).select("i", "a", F.posexplode(F.arrays_zip(F.col("_x").alias("x"), F.col("_y").alias("y"))).alias("j", "z"))
-    a, b, c = F.col("a"), F.col("z.x"), F.col("z.y")
-    return terms.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(c).alias("sy"), F.sum(a * b).alias("sxx"), F.sum(a * c).alias("sxy"))
+    chosen = rows.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    fields = ["n", "sx", "sy", "sxx", "sxy"]
+
+    def run(batches):
+        total: dict[tuple, list] = {}
+        for batch in batches:
+            names = list(zip(*[batch.column(i).to_pylist() for i in range(len(keys))], strict=True)) or [()] * batch.num_rows
+            a, b = (np.array(batch.column(len(keys) + i).to_pylist(), np.float64).reshape(batch.num_rows, -1) for i in (0, 1))
+            groups: dict[tuple, list[int]] = {}
+            for i, k in enumerate(names):
+                groups.setdefault(k, []).append(i)
+            for k, at in groups.items():
+                u, v = a[at], b[at]
+                part = [len(at), u.sum(0), v.sum(0), u.T @ u, u.T @ v]
+                total[k] = [p + q for p, q in zip(total[k], part, strict=True)] if k in total else part
+        for k, (n, su, sv, uu, uv) in total.items():
+            p = len(su)
+            i, j = np.divmod(np.arange(p * p), p)
+            columns = [pa.array([name] * (p * p), t.type) for name, t in zip(k, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(i), pa.array(j), pa.array(np.full(p * p, n)), pa.array(su[i]), pa.array(sv[j]), pa.array(uu.ravel()), pa.array(uv.ravel())], [*keys, "i", "j", *fields])
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = [to_arrow_schema(chosen.schema).field(k) for k in keys]
+    named = "".join(f"`{k}` {chosen.schema[k].dataType.simpleString()}, " for k in keys)
+    parts = chosen.mapInArrow(run, named + "i long, j long, n long, sx double, sy double, sxx double, sxy double")
+    return parts.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in fields])
 
 
 def fit_ridge(rows: DataFrame, x: str, y: str, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,17 +61,28 @@ def fit_ridge(rows: DataFrame, x: str, y: str, ridge: float = 1.0) -> tuple[np.n
 
 
 def predict_linear(rows: DataFrame, x: str, weights: np.ndarray, mean_x: np.ndarray, mean_y: np.ndarray, out: str = "predicted") -> DataFrame:
-    """rows with mean_y + (x - mean_x) W, as literal arrays in the plan."""
-    columns = F.array(*[F.array(*[F.lit(float(v)) for v in weights[:, j]]) for j in range(weights.shape[1])])
-    centred = F.zip_with(F.col(x), F.array(*[F.lit(float(v)) for v in mean_x]), lambda a, b: a - b)
-    dots = F.transform(columns, lambda w: F.aggregate(F.zip_with(w, F.col("_centred"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    shifted = rows.withColumn("_centred", centred).withColumn("_dots", dots)
-    return shifted.withColumn(out, F.zip_with("_dots", F.array(*[F.lit(float(v)) for v in mean_y]), lambda a, b: a + b)).drop("_centred", "_dots")
+    """rows with mean_y + (x - mean_x) W, a matrix product for each batch."""
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+    schema = StructType([*rows.schema.fields]).add(out, ArrayType(DoubleType()))
+    at = rows.columns.index(x)
+
+    def run(batches):
+        for batch in batches:
+            values = np.array(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            found = mean_y + (values - mean_x) @ weights
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.float64()))], [*batch.schema.names, out])
+
+    return rows.mapInArrow(run, schema)
 
 
 def nearest_centre(rows: DataFrame, centres: DataFrame, group: list[str], vec: str, ident: str) -> DataFrame:
-    """group, ident, centre, d: each row's nearest centre of its group, ties to the lower number. centres: group, centre, c."""
-    d = rows.join(F.broadcast(centres), group).select(*group, ident, "centre", distance(vec, "c").alias("d"))
+    """group, ident, centre, d: each row's nearest centre of its group, ties to the lower number. centres: group, centre, c.
+
+    Centres are broadcast if there are at most 10,000, else joined by group.
+    """
+    few = centres.limit(10_001).count() <= 10_000
+    d = rows.join(F.broadcast(centres) if few else centres, group).select(*group, ident, "centre", distance(vec, "c").alias("d"))
     return d.groupBy(*group, ident).agg(F.min_by("centre", F.struct(F.round("d", 9), F.col("centre"))).alias("centre"), F.min("d").alias("d"))
 
 
@@ -108,7 +143,7 @@ def logistic_probe(rows: DataFrame, vec: str, label: str, fold: Column, folds: i
     """fold, n, accuracy of a logistic regression fitted on the other folds."""
     from pyspark.ml.classification import LogisticRegression
 
-    prepared = rows.select(array_to_vector(vec).alias("features"), F.col(label).cast("double").alias("label"), fold.alias("fold")).cache()
+    prepared = rows.select(array_to_vector(vec).alias("features"), F.col(label).cast("double").alias("label"), fold.alias("fold"))
     out = None
     for i in range(folds):
         model = LogisticRegression(maxIter=50, regParam=0.1).fit(prepared.where(F.col("fold") != i))

@@ -221,9 +221,12 @@ def _(spark, sf):
     return B.table(spark, sf, "region").select("r_name", P.known_or_unclear(F.col("r_name")).alias("mechanism"))
 
 
-@query("src03_capped_scan", "SELECT count(*) AS n, max(event_id) AS last FROM (SELECT event_id FROM events ORDER BY event_id LIMIT 500)")
+@query("src03_capped_scan", "SELECT file, count(*) AS n, max(k) AS last FROM (SELECT * FROM (SELECT 'nation' AS file, n_nationkey::BIGINT AS k FROM nation ORDER BY k LIMIT 7) UNION ALL SELECT * FROM (SELECT 'supplier', s_suppkey::BIGINT AS k FROM supplier ORDER BY k LIMIT 7) UNION ALL SELECT * FROM (SELECT 'region', r_regionkey::BIGINT AS k FROM region ORDER BY k LIMIT 7)) GROUP BY file")
 def _(spark, sf):
-    return SRC.capped_scan(B.table(spark, sf, "events"), 500, "event_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    """The first rows of each of three files, read together."""
+    part = lambda t, k: B.table(spark, sf, t).select(F.lit(t).alias("file"), F.col(k).cast("long").alias("k"))
+    files = part("nation", "n_nationkey").unionByName(part("supplier", "s_suppkey")).unionByName(part("region", "r_regionkey"))
+    return SRC.capped_scan(files, 7, "k").groupBy("file").agg(F.count("*").alias("n"), F.max("k").alias("last"))
 
 
 @query("src16_schema_report", "SELECT count(*) AS n, count(DISTINCT p_brand) AS features, (SELECT count(*) FROM pn) AS on_panel FROM part", B.EXPR)

@@ -158,16 +158,16 @@ def _(spark, sf):
 # --- models -----------------------------------------------------------------
 
 
-@query("ml02_gram_moments", "SELECT a.idx AS i, b.idx AS j, count(*) AS n, round(sum(a.v * b.v), 6) AS sxx FROM vl a JOIN vl b ON a.id = b.id WHERE a.idx < 8 AND b.idx < 8 GROUP BY ALL", B.VEC)
+@query("ml02_gram_moments", "SELECT a.idx AS i, b.idx AS j, count(*) AS n, round(sum(a.v * b.v), 6) AS sxx FROM vl a JOIN vl b ON a.id = b.id GROUP BY ALL", B.VEC)
 def _(spark, sf):
-    """The Gram matrix of the first eight features."""
-    v = B.vectors(spark, sf).withColumn("x", F.slice("x", 1, 8))
+    """The Gram matrix of all features."""
+    v = B.vectors(spark, sf)
     return MO.moments(v, "x", "x").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "n", r6("sxx").alias("sxx"))
 
 
 @query("ml02_ridge_prediction")
 def _(spark, sf):
-    v = B.vectors(spark, sf).select("id", F.slice("x", 1, 8).alias("x"), F.slice("x", 9, 8).alias("y"))
+    v = B.vectors(spark, sf).select("id", F.slice("x", 1, 32).alias("x"), F.slice("x", 33, 32).alias("y"))
     return MO.predict_linear(v, "x", *MO.fit_ridge(v, "x", "y")).select("id", F.transform("predicted", lambda p: F.round(p, 6)).alias("predicted"))
 
 
@@ -188,25 +188,20 @@ def _(spark, sf):
     return MO.principal_components(B.vectors(spark, sf).select("id", "x"), "x", 3).select("id", F.transform("coords", lambda c: F.round(c, 6)).alias("coords"))
 
 
-@query("ml11_transport_targets")
+@query("ml11_transport_cost", "SELECT a.context, b.treatment, round(avg(list_distance(a.x, b.x) ** 2), 6) AS cost FROM vec a JOIN vec b ON a.context = b.context AND a.treatment = 0 AND b.treatment <> 0 GROUP BY ALL", B.VEC)
 def _(spark, sf):
-    v = B.vectors(spark, sf).where("treatment < 2").withColumn("side", F.col("treatment").cast("int"))  # controls and one treatment
-    capped = S.first_per_key(v, ["context", "side"], 200, ["id"])
-    return MO.transport_targets(capped.select("context", "side", "id", "x"), ["context"], "side", "x", "id").select("context", "id", F.transform("target", lambda t: F.round(t, 6)).alias("target"))
-
-
-@query("ml11_transport_cost", "SELECT a.context, round(avg(list_distance(a.x, b.x) ** 2), 6) AS cost FROM vec a JOIN vec b ON a.context = b.context AND a.treatment = 0 AND b.treatment = 1 GROUP BY a.context", B.VEC)
-def _(spark, sf):
-    v = B.vectors(spark, sf)
-    p = v.where("treatment = 0").select("context", F.col("x").alias("a")).join(v.where("treatment = 1").select("context", F.col("x").alias("b")), "context")
-    d = distance("a", "b")
-    return p.groupBy("context").agg(r6(F.avg(d * d)).alias("cost"))
+    """The mean squared distance of all pairs, from means and mean squares alone."""
+    v = B.vectors(spark, sf).withColumn("q", F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
+    by = v.groupBy("context", "treatment").agg(R.mean_vector("x").alias("m"), F.avg("q").alias("q"))
+    control = by.where("treatment = 0").select("context", F.col("m").alias("c"), F.col("q").alias("qc"))
+    dot = F.aggregate(F.zip_with("m", "c", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return by.where("treatment <> 0").join(control, "context").select("context", "treatment", r6(F.col("q") + F.col("qc") - 2 * dot).alias("cost"))
 
 
 @query("ml12_logistic_probe")
 def _(spark, sf):
-    v = B.vectors(spark, sf).where("treatment < 2")  # two classes
-    return MO.logistic_probe(v, "x", "treatment", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)), 3)
+    v = B.vectors(spark, sf).withColumn("odd", F.col("treatment") % 2)  # two classes
+    return MO.logistic_probe(v, "x", "odd", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(3)), 3)
 
 
 # --- streams ----------------------------------------------------------------
@@ -216,6 +211,8 @@ def _folder(spark):
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
     return "file://" + tempfile.mkdtemp(prefix="quillon-stream-")

@@ -63,9 +63,9 @@ def _(spark, sf):
     return v.groupBy("context").agg(r6(RP.range_fraction(F.col("a"), F.col("b"), F.col("c") + 1)).alias("fraction"))
 
 
-@query("met26_divergence", "SELECT id, round(list_sum(list_transform(range(1, 9), lambda i: exp(x[i]) * (x[i] - x[i + 8]))), 6) AS kl FROM vec", B.VEC)
+@query("met26_divergence", "SELECT id, round(list_sum(list_transform(range(1, 33), lambda i: exp(x[i]) * (x[i] - x[i + 32]))), 6) AS kl FROM vec", B.VEC)
 def _(spark, sf):
-    return B.vectors(spark, sf).select("id", r6(RP.divergence(F.slice("x", 1, 8), F.slice("x", 9, 8))).alias("kl"))
+    return B.vectors(spark, sf).select("id", r6(RP.divergence(F.slice("x", 1, 32), F.slice("x", 33, 32))).alias("kl"))
 
 
 @query("met29_dose_monotonicity", "SELECT event_type, round(corr(rk, rv), 6) AS rho, any_value(n) AS n FROM (SELECT event_type, n, rank() OVER (PARTITION BY event_type ORDER BY k) + (count(*) OVER (PARTITION BY event_type, k) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY event_type ORDER BY m) + (count(*) OVER (PARTITION BY event_type, m) - 1) / 2.0 AS rv FROM (SELECT event_type, raw_value::BIGINT AS k, round(avg(value), 9) AS m, count(*) OVER (PARTITION BY event_type) AS n FROM ev WHERE raw_value IS NOT NULL GROUP BY event_type, raw_value::BIGINT)) GROUP BY event_type HAVING any_value(n) >= 3", B.EVENT)

@@ -214,11 +214,11 @@ def _(spark, sf):
 
 @query(
     "met16_energy_distance",
-    """SELECT context, round(2 * avg(d) FILTER (WHERE s = 0 AND t = 1) - coalesce(avg(d) FILTER (WHERE s = 0 AND t = 0), 0) - coalesce(avg(d) FILTER (WHERE s = 1 AND t = 1), 0), 6) AS energy FROM (SELECT a.context, a.s, b.s AS t, list_distance(a.x, b.x) AS d FROM (SELECT *, (treatment > 0)::INT AS s FROM vec WHERE treatment < 2) a JOIN (SELECT *, (treatment > 0)::INT AS s FROM vec WHERE treatment < 2) b ON a.context = b.context AND (a.s < b.s OR (a.s = b.s AND a.id < b.id))) GROUP BY context""",
+    """SELECT context, round(2 * avg(d) FILTER (WHERE s = 0 AND t = 1) - coalesce(avg(d) FILTER (WHERE s = 0 AND t = 0), 0) - coalesce(avg(d) FILTER (WHERE s = 1 AND t = 1), 0), 6) AS energy FROM (SELECT a.context, a.s, b.s AS t, list_distance(a.x, b.x) AS d FROM (SELECT *, (treatment > 0)::INT AS s FROM vec) a JOIN (SELECT *, (treatment > 0)::INT AS s FROM vec) b ON a.context = b.context AND (a.s < b.s OR (a.s = b.s AND a.id < b.id))) GROUP BY context""",
     B.VEC,
 )
 def _(spark, sf):
-    two = B.vectors(spark, sf).where("treatment < 2").withColumn("s", (F.col("treatment") > 0).cast("int"))  # the operator compares two sides
+    two = B.vectors(spark, sf).withColumn("s", (F.col("treatment") > 0).cast("int"))
     return M.energy_distance(two, ["context"], "s", "x").select("context", r6("energy").alias("energy"))
 
 
