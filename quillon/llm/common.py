@@ -95,6 +95,26 @@ def crc_fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(folds))
 
 
+def released(run):
+    """run, a function over Arrow batches, that gives freed memory back to the system at the end: workers live on between stages."""
+
+    def wrapped(parts):
+        yield from run(parts)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: it keeps what it freed
+            pass
+
+    return wrapped
+
+
 # --- word hashing -----------------------------------------------------------
 
 #: Bytes that part words, as the class [\x20\x09-\x0D].

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import crc_fold, materialise, only, place, places, small
+from .common import crc_fold, materialise, only, place, places, released, small
 
 #: The fit's bounds: documents for each language, windows for each document, characters of a window.
 DOCS_PER_LANG, WINDOWS, WINDOW_CHARS = 250, 6, 64
@@ -244,7 +244,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     held = F.coalesce(crc_fold(F.col(place(docs, id_col)), 4) == 2, F.lit(False)).alias("held_out")
     chosen = rows.select(F.col(place(docs, text_col)).alias("_text"), *[F.col(place(docs, n)).alias(f"_keep{i}") for i, n in enumerate(named)], held)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    out = chosen.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    out = chosen.mapInArrow(released(run), f"{fields}, lang_pred string, score double")
     first, *others = [F.col(f"_keep{i}").alias(n) for i, n in enumerate(named)]
     return out.select(first, "held_out", "lang_pred", "score", *others)
 

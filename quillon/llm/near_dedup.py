@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, batches, forget, hash_texts, kind_of, materialise, mix32, mix64, only
+from .common import LOWER, batches, forget, hash_texts, kind_of, materialise, mix32, mix64, only, released
 
 BANDS, ROWS = 32, 4  #: a pair of similarity 0.8 shares no band with a chance of 5e-8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -88,7 +88,7 @@ def _base(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
                 )
 
     kind = kind_of(docs, id_col)
-    return only(docs, id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return only(docs, id_col, text_col).mapInArrow(released(run), f"id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:

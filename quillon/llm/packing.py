@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, kind_of, materialise, only
+from .common import batches, kind_of, materialise, only, released
 
 #: Chunks that a Python worker keeps; beyond it the tables start anew (a matter of speed only).
-TABLE_ENTRIES = 1_000_000
+TABLE_ENTRIES = 300_000
 _BLANK = re.compile(r"\s|\u180e")
 _workers: dict = {}
 
@@ -128,7 +128,7 @@ class ChunkEncoder:
 
 
 def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str, text_col: str, end_id: int = 0, ids: bool = False) -> DataFrame:
-    """Pieces of each document's ids (end_id last): full ones of capacity ids, then the rest. With ids, the ids too."""
+    """Pieces of each document's ids (end_id last): full ones of capacity ids, then the rest. With ids, those too, as little-endian 32-bit numbers."""
 
     def run(parts):
         encoder = _workers.get(tokenizer_file) or _workers.setdefault(tokenizer_file, ChunkEncoder(tokenizer_file))
@@ -138,7 +138,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str,
         for part in parts:
             keys = part.column(0)
             texts = [t or "" for t in part.column(1).to_pylist()]
-            for a, b in batches(texts, 4 << 20):
+            for a, b in batches(texts):
                 rows: list[list] = [[] for _ in range(7)]
                 codes: list[np.ndarray] = []
                 for i, code in enumerate(encoder.encode(texts[a:b]), a):
@@ -155,13 +155,14 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, id_col: str,
                 columns = [keys.take(pa.array(rows[0], pa.int64())), *[pa.array(c, pa.int64()) for c in rows[1:5]], pa.array(rows[5], pa.int32()), pa.array(rows[6], pa.int64())]
                 names = ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "ordinal"]
                 if ids:
-                    flat = np.concatenate([*codes, np.zeros(0, "<u4")]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(rows[2]))), pa.int32()), pa.array(flat)))
+                    flat = np.concatenate([*codes, np.zeros(0, "<u4")])
+                    ends = np.concatenate(([0], 4 * np.cumsum(rows[2]))).astype(np.int32)
+                    columns.append(pa.Array.from_buffers(pa.binary(), len(rows[0]), [None, pa.py_buffer(ends), pa.py_buffer(flat)]))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long" + ", ids array<int>" * ids
-    return only(docs, id_col, text_col).mapInArrow(run, fields)
+    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long" + ", ids binary" * ids
+    return only(docs, id_col, text_col).mapInArrow(released(run), fields)
 
 
 def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -286,7 +287,8 @@ def layout(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
 
 
 def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ids the token ids themselves.
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ids the token ids
+    themselves (little-endian 32-bit numbers).
 
     A null or empty text is the end id alone. Repeated ids are packed as separate documents, each row by itself. An empty
     table gives an empty result. Other columns are not looked at. Sequences hold at most capacity ids; offsets in a
@@ -310,5 +312,5 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, id_col: str
             found = [pa.array(table["base"][at] + q // n), pa.array(table["offset"][at] + (q % n) * length)]
             yield pa.RecordBatch.from_arrays([*part.columns[:5], *found, *part.columns[5:-1]], [*shown[:5], "sequence_id", "offset", *shown[5:]])
 
-    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * ids
+    fields = f"id {kind_of(docs, id_col)}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
     return ranked.mapInArrow(place, fields).withColumnRenamed("id", id_col)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from .common import only, released
 
 KINDS = ("email", "ip", "card", "phone")
 SECRET = len(KINDS) + 1  # the network's own kind
@@ -509,7 +509,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     others = [c for c in dict.fromkeys((id_col, *keep)) if c != text_col]
     chosen = only(docs, text_col, *others).toDF("text", *[f"_keep{i}" for i in range(len(others))])
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in chosen.schema.fields[1:])
-    out = chosen.mapInArrow(run, fields + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, private boolean, redacted string")
+    out = chosen.mapInArrow(released(run), fields + "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, secrets string, private boolean, redacted string")
     first, *rest = [F.col(f"_keep{i}").alias(n) for i, n in enumerate(others)]
     return out.select(first, *[n for n, _ in new[:-1]], *rest, *[F.col("redacted").alias(text_col)] * redact)
 
