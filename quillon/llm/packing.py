@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, kind_of, materialise, only, released
+from .common import batches, kind_of, materialise, only, released, small
 
-#: Chunks that a Python worker keeps; beyond it the tables start anew (a matter of speed only).
-TABLE_ENTRIES = 300_000
+#: Chunks that a Python worker keeps; beyond it the half that was used least is dropped (a matter of speed only).
+TABLE_ENTRIES = 500_000
+#: Rows (a task and a length) of the table of first ranks that are broadcast at most, some 30 MB.
+FIRST_ROWS = 200_000
 _BLANK = re.compile(r"\s|\u180e")
 _workers: dict = {}
 
@@ -88,6 +90,24 @@ class ChunkEncoder:
     def _clear(self) -> None:
         self.first, self.later = _Table(self._learn), _Table(lambda w: self._learn(w if w[:1] == "\n" else " " + w if w else w))
         self.starts, self.lengths, self.pool = array("q"), array("q"), array("I")
+        self.uses = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the entries that were used most, half of the table at most."""
+        starts, lengths, pool = np.array(self.starts), np.array(self.lengths), np.array(self.pool)
+        uses = np.zeros(len(starts), np.int64)
+        uses[: len(self.uses)] = self.uses
+        keep = uses > np.partition(uses, len(uses) // 2)[len(uses) // 2]
+        place = np.cumsum(keep) - 1
+        size = np.maximum(lengths[keep], 0)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        self.pool = array("I", pool[np.repeat(starts[keep] - upto[:-1], size) + np.arange(upto[-1])].tobytes())
+        self.starts, self.lengths = array("q", upto[:-1].astype(np.int64).tobytes()), array("q", lengths[keep].tobytes())
+        for table in (self.first, self.later):
+            kept = {w: int(place[e]) for w, e in table.items() if keep[e]}
+            table.clear()
+            table.update(kept)
+        self.uses = uses[keep] // 2
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -107,7 +127,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.starts) > TABLE_ENTRIES:
-            self._clear()
+            self._shrink()
         if not self.by_chunk:
             return [self.whole(t) for t in texts]
         entries, edges = array("q"), [0]
@@ -118,6 +138,9 @@ class ChunkEncoder:
             entries.extend(map(later, words[1:]))
             edges.append(len(entries))
         entry = np.frombuffer(entries, np.int64)
+        used = np.bincount(entry, minlength=len(self.starts))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         size = np.frombuffer(self.lengths, np.int64)[entry]
         upto = np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
         # One array of ids for the batch: each entry's run of the pool, in the order of the texts.
@@ -295,14 +318,15 @@ def pack(docs: DataFrame, tokenizer_file: str, capacity: int = 1024, id_col: str
     sequence are gapless from 0; sequence ids are 0 to n - 1.
     """
     pieces = materialise(cut_pieces(docs, tokenizer_file, capacity, id_col, text_col, ids=ids), "pieces")
-    counts = pieces.groupBy("part", "length").count()
+    counts = materialise(pieces.groupBy("part", "length").count(), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     # One row for each task and length: the rank at which the task's pieces of that length begin.
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     table = layout(plan(histogram, capacity))
     shown = ["id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids]
-    ranked = pieces.join(first, ["part", "length"]).select(*shown, (F.col("first") + F.col("ordinal")).alias("rank"))
+    # Up to so many rows they go to the pieces, which then need not move; beyond it both sides shuffle.
+    ranked = pieces.join(small(first, FIRST_ROWS), ["part", "length"]).select(*shown, (F.col("first") + F.col("ordinal")).alias("rank"))
 
     def place(parts):
         for part in parts:

@@ -110,6 +110,15 @@ def test_chunk_encoder_on_odd_texts():
     assert [x.tolist() for x in c.encode(odd)] == [e.ids for e in c.tokenizer.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_chunk_encoder_with_a_full_table(monkeypatch):
+    monkeypatch.setattr(packing, "TABLE_ENTRIES", 50)
+    c, rng = packing.ChunkEncoder(P.path("byte_bpe_50k.json")), np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)] + ["the", "of"] * 60
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words, rng.integers(1, 30))).replace(" w1", " \tw1") for _ in range(5)] + ["", "a\nb"]
+        assert [x.tolist() for x in c.encode(texts)] == [e.ids for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_plan_covers_any_histogram_once():
     rng = np.random.default_rng(2)
     for n in (1, 5, 60):
