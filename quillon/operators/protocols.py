@@ -184,7 +184,8 @@ def multiway_variance(rows: DataFrame, value: str, nodes: str) -> DataFrame:
     for any number of nodes (2^m - 1 subsets of m), so no pairs are formed.
     """
     stats = rows.agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    e = rows.join(F.broadcast(stats)).select(F.array_sort(F.array_distinct(nodes)).alias("_k"), (F.col(value) - F.col("mean")).alias("_e"))
+    named = rows.select(F.array_sort(F.array_distinct(nodes)).alias("_k"), F.col(value).alias("_v"))
+    e = named.join(F.broadcast(stats)).select("_k", (F.col("_v") - F.col("mean")).alias("_e"))
     masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("_k")).cast("int") - 1)
     chosen = e.select("_e", "_k", F.explode(masks).alias("_m")).select("_e", F.filter("_k", lambda x, i: F.floor(F.col("_m") / F.pow(F.lit(2), i)) % 2 == 1).alias("_s"))
     sums = chosen.groupBy("_s").agg(F.sum("_e").alias("_t"), F.count("*").alias("_c"))
