@@ -89,6 +89,13 @@ def value_profile(rows: DataFrame, keys: list[str], kmax: int, value: str = "val
     return rows.withColumn("rank", r).where(F.col("rank") <= kmax).groupBy("rank").agg(F.avg(value).alias("level"))
 
 
+def decoded_order(ranks: DataFrame, profile: DataFrame, all_keys: DataFrame, panel: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, idx, level for every panel place: the profile's level at its rank, 0 beyond the profile and for absent places."""
+    levels = ranks.join(F.broadcast(profile), "rank").select(*keys, "idx", "level")  # one row for each rank
+    grid = all_keys.join(F.broadcast(panel.select("idx")))
+    return grid.join(levels, [*keys, "idx"], "left").withColumn("level", F.coalesce("level", F.lit(0.0)))
+
+
 def group_means(rows: DataFrame, members: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """keys, idx, mean: sums over a group's rows by the group's entity count, for absent values are 0. members: keys, entity."""
     size = members.groupBy(*keys).agg(F.countDistinct("entity").alias("_n"))

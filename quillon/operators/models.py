@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import distance
+from ..functions.core import col, distance, mean_of
 
 
 def moments(rows: DataFrame, x: str, y: str, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -60,6 +60,20 @@ def fit_ridge(rows: DataFrame, x: str, y: str, ridge: float = 1.0) -> tuple[np.n
     return np.linalg.solve(xx + penalty * np.eye(p), xy), mx, my
 
 
+def row_centred(vec: Column | str) -> Column:
+    """A row's values less their own mean, which takes out the constant that fills absent places."""
+    v, m = col(vec), mean_of(vec)
+    return F.transform(v, lambda x: x - m)
+
+
+def fit_plain_ridge(rows: DataFrame, x: str, y: str, ridge: float) -> np.ndarray:
+    """Weights (P, P) without intercept and with the penalty as it is. Only the P * P moments reach the driver."""
+    got = moments(rows, x, y).toPandas()
+    grid = lambda c: got.pivot(index="i", columns="j", values=c).to_numpy()
+    xx = grid("sxx")
+    return np.linalg.solve(xx + ridge * np.eye(len(xx)), grid("sxy"))
+
+
 def predict_linear(rows: DataFrame, x: str, weights: np.ndarray, mean_x: np.ndarray, mean_y: np.ndarray, out: str = "predicted") -> DataFrame:
     """rows with mean_y + (x - mean_x) W, a matrix product for each batch."""
     from pyspark.sql.types import ArrayType, DoubleType, StructType

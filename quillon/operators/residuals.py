@@ -90,3 +90,18 @@ def residuals(conditions: DataFrame) -> DataFrame:
 def reliable(conditions: DataFrame, threshold: float, label: Column, filter_held_out: bool = False) -> DataFrame:
     """Drops unreliable conditions; held-out ones (label not train) are exempt unless asked."""
     return conditions.where((F.col("repro_cos") > threshold) | ((label != "train") & F.lit(not filter_held_out)))
+
+
+def generic_by_group(conditions: DataFrame, fitted: Column, fine: list[str], coarse: list[str], treatment: str, vec: str, shrink: float = 0.0) -> DataFrame:
+    """fine, generic: what to add to a group's control when the treatment is unknown, so none is left out.
+
+    The mean over treatments' mean vectors, blended with the coarse group's as generic() does, so that adding it undoes the
+    transform that made the residuals. One row for each fine group; coarse is a part of fine.
+    """
+    at = conditions.where(fitted)
+    level = lambda keys: at.groupBy(*keys, treatment).agg(mean_vector(vec).alias("_m")).groupBy(*keys).agg(mean_vector("_m").alias("_g"), F.count("*").alias("_n"))
+    if not shrink:
+        return level(fine).select(*fine, F.col("_g").alias("generic"))
+    both = level(fine).join(level(coarse).select(*coarse, F.col("_g").alias("_c")), coarse)
+    w = F.col("_n") / (F.col("_n") + F.lit(shrink))
+    return both.select(*fine, plus(scaled("_g", w), scaled("_c", 1 - w)).alias("generic"))

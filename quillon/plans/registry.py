@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cell_queries, design_queries, inference_queries, model_queries, protocol_queries, report_queries, trial_queries, vector_queries  # noqa: F401
+from . import cell_queries, design_queries, inference_queries, loading_queries, model_queries, protocol_queries, report_queries, trial_queries, vector_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

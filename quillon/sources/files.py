@@ -49,6 +49,18 @@ def write_checked(rows: DataFrame, path: str, least: int, **checks: str) -> None
     rows.write.mode("overwrite").parquet(path)
 
 
+def write_csv(rows: DataFrame, path: str, columns: list[str]) -> None:
+    """CSV files with a header, the given columns in their order; null and columns that rows lacks are empty, quotes doubled."""
+    chosen = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns]
+    rows.select(*chosen).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
+
+
+def write_reconstruction(generic: DataFrame, group: list[str], path: str) -> None:
+    """Parquet of scope, group_key, the group's own columns and its generic vector: control + generic + residual is the treated mean."""
+    name = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in group])
+    generic.select(F.lit("|".join(group)).alias("scope"), name.alias("group_key"), *group, "generic").write.mode("overwrite").parquet(path)
+
+
 def ordered_tokens(spark: SparkSession, path: str) -> DataFrame:
     """tok, idx of a text file's distinct lines in order of first sight; blanks and # lines are passed over."""
     lines = spark.read.text(path).select(F.trim("value").alias("tok"), F.monotonically_increasing_id().alias("at")).where("tok <> '' and not startswith(tok, '#')")
